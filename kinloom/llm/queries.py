@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import hnsw
+from kinloom.functions.text import bare
+from kinloom.llm import contraction, hnsw, survivor
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -36,3 +37,64 @@ def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
     top = hnsw.most_similar(found, 5)
     person = index.vectors.select(F.col("key").alias("other"), F.col("person_id").alias("other_person_id"))
     return top.join(person, "other").select(F.col("key").alias("img_key"), "rank", F.col("other").alias("other_img_key"), "other_person_id", F.round(F.col("sim").cast("double"), 4).alias("cosine"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "merge_pairs").where("score >= threshold").select("person_id", "merged_into")
+    return contraction.linked_groups(pairs, "person_id", "merged_into").select("group_id", F.col("id").alias("person_id"))
+
+
+SQL["p5_found"] = """
+with recursive e as (select distinct person_id u, merged_into v from merge_pairs where score >= threshold and person_id <> merged_into),
+s as (select u, v from e union select v, u from e),
+r(id, root) as (select u, u from s union select s.v, r.root from r join s on s.u = r.id where r.root < s.v)
+select min(root) group_id, id person_id from r group by id"""
+
+
+def _person_members(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    rules = survivor.filled_fields()
+    p = survivor.with_fill(table(spark, d, "person_records"), rules).withColumn("src_key", bare(F.col("src")))
+    m = table(spark, d, "label_map").where("final_id >= 0").select(bare(F.col("src")).alias("src_key"), F.col("orig_id").alias("person_id"), F.col("final_id").alias("group_id")).dropna().distinct()
+    trust = table(spark, d, "source_trust").groupBy(bare(F.col("src")).alias("src_key")).agg(F.min("trust_rank").alias("trust"))
+    joined = p.join(m, ["src_key", "person_id"]).join(trust, "src_key", "left").withColumn("trust_rank", F.coalesce("trust", F.lit(survivor.LEAST_TRUST)))
+    return joined.dropDuplicates(["group_id", "rec_id"]), list(rules)
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    members, fields = _person_members(spark, d)
+    return survivor.unbeaten(members, fields).select(F.col("group_id").alias("final_id"), "rec_id")
+
+
+@query
+def p7_built_records(spark: SparkSession, d: str) -> DataFrame:
+    members, fields = _person_members(spark, d)
+    return survivor.built_records(members, fields).withColumnRenamed("group_id", "final_id")
+
+
+_P7 = """
+with f as (
+  select *, lower(trim(src)) s,
+    coalesce(lower(trim(name)) not in ('', '-', '?', '??', 'n/a', 'na', 'nan', 'nil', 'none', 'null', 'tbd', 'und', 'undefined', 'unknown', 'xx'), false) h1,
+    coalesce(birth_year between 1900 and year(current_date), false) h2,
+    coalesce(lower(trim(country)) not in ('', '-', '?', '??', 'n/a', 'na', 'nan', 'nil', 'none', 'null', 'tbd', 'und', 'undefined', 'unknown', 'xx'), false) h3,
+    coalesce(img_count > 0, false) h4,
+    coalesce(lower(trim(best_img_key)) not in ('', '-', '?', '??', 'n/a', 'na', 'nan', 'nil', 'none', 'null', 'tbd', 'und', 'undefined', 'unknown', 'xx'), false) h5
+  from person_records),
+m as (select distinct l.final_id, f.*, coalesce(t.trust_rank, 2147483647) k from f
+  join label_map l on lower(trim(l.src)) = f.s and l.orig_id = f.person_id and l.final_id >= 0 left join source_trust t on t.src = f.s),
+"""
+SQL["p7_found"] = (
+    _P7
+    + """g as (select final_id, count(*) n, bool_or(h1) g1, bool_or(h2) g2, bool_or(h3) g3, bool_or(h4) g4, bool_or(h5) g5, max(updated_at) u, min(k) k from m group by final_id),
+c as (select m.final_id, m.rec_id from m join g using (final_id) where g.n >= 2 and m.updated_at = g.u and m.k = g.k and m.h1 >= g1 and m.h2 >= g2 and m.h3 >= g3 and m.h4 >= g4 and m.h5 >= g5),
+x as (select m.final_id, count(*) n from m join g using (final_id) where m.updated_at = g.u group by 1)
+select c.* from c join x using (final_id) where x.n = 1"""
+)
+SQL["p7_built_records"] = (
+    _P7
+    + """o as (select *, -k as a, coalesce(updated_at, timestamp '1000-01-01') as b, -rec_id as c, h1::int + h2::int + h3::int + h4::int + h5::int n from m)
+select final_id, count(*) n_members, arg_max(name, (a, b, c)) filter (h1) as name, arg_max(birth_year, (a, b, c)) filter (h2) birth_year, arg_max(country, (a, b, c)) filter (h3) country,
+  arg_max(img_count, (a, b, c)) filter (h4) img_count, arg_max(best_img_key, (a, b, c)) filter (h5) best_img_key, arg_max(rec_id, (n, a, b, c)) lead_rec_id from o group by final_id"""
+)
