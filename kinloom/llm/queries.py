@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
-from kinloom.llm import contraction, hnsw, survivor
+from kinloom.llm import contraction, hnsw, leakage, survivor
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -98,3 +98,14 @@ SQL["p7_built_records"] = (
 select final_id, count(*) n_members, arg_max(name, (a, b, c)) filter (h1) as name, arg_max(birth_year, (a, b, c)) filter (h2) birth_year, arg_max(country, (a, b, c)) filter (h3) country,
   arg_max(img_count, (a, b, c)) filter (h4) img_count, arg_max(best_img_key, (a, b, c)) filter (h5) best_img_key, arg_max(rec_id, (n, a, b, c)) lead_rec_id from o group by final_id"""
 )
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    found = p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(found, "item_id").select("item_id", "suite", "n_documents")
