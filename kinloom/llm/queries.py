@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
-from kinloom.llm import contraction, hnsw, leakage, survivor
+from kinloom.llm import contraction, hnsw, leakage, packing, survivor
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -109,3 +109,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     found = p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
     return table(spark, d, "eval_items").select("item_id", "suite").join(found, "item_id").select("item_id", "suite", "n_documents")
+
+
+def _packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(packing.token_counts(table(spark, d, "documents")))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_items(_packing(spark, d)).withColumnRenamed("item_id", "doc_id")
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_packing(spark, d))
