@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
-from kinloom.llm import contraction, hnsw, leakage, packing, survivor
+from kinloom.llm import contraction, hnsw, language, leakage, packing, survivor
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -123,3 +123,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_packing(spark, d))
+
+
+def _language_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.language_segments(docs, language.fitted(language.labelled_sample(docs, "doc_id", "text", "lang")))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(_language_segments(spark, d))
+
+
+@query
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _language_segments(spark, d).drop("label")
