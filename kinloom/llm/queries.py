@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
-from kinloom.llm import contraction, hnsw, language, leakage, packing, survivor
+from kinloom.llm import clusters, contraction, hnsw, language, leakage, packing, survivor
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -138,3 +138,21 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _language_segments(spark, d).drop("label")
+
+
+def _face_clusters(spark: SparkSession, d: str, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    vectors = hnsw.usable_vectors(table(spark, d, "contaminated_cfp_embeddings"), "rel_path", "embedding", ["seq_no"], keep=keep)
+    return vectors, clusters.similarity_clusters(vectors, 0.46)
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    _, members = _face_clusters(spark, d)
+    size = members.where("closed").groupBy("cluster").agg(F.min("key").alias("cluster_path"), F.count("*").alias("n")).where("n >= 3")
+    return members.join(size, "cluster").select("cluster_path", F.col("key").alias("rel_path"))
+
+
+@query
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    vectors, members = _face_clusters(spark, d, ["assigned_id"])
+    return clusters.described(members.join(vectors.select("key", "assigned_id"), "key"), "assigned_id")
