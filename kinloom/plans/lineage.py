@@ -1,31 +1,41 @@
 """Cutting lineage through the folder that the cluster shares.
 
-Iterative operators write their state between rounds with ``checkpoint()``.
-The folder is the one named by ``spark.checkpoint.dir``; only a local session
-without that setting gets a temporary folder of its own.
+Iterative operators write their state between rounds as tables there. The folder
+is the one named by ``spark.checkpoint.dir``; only a local session without that
+setting gets a temporary folder of its own, removed when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; raises on a cluster that names none."""
+    """The shared folder of the session; raises on a cluster that names none."""
     sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="kinloom-checkpoint-")
-    if not sc.getCheckpointDir():
+        found = tempfile.mkdtemp(prefix="kinloom-shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made."""
-    ensure_shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    Unlike a checkpoint, the table has a known size, so small states of late
+    rounds are joined by broadcast, and it carries no constraints of its past,
+    which would make the plans of many rounds grow.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_shared_folder(spark)}/kinloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
