@@ -40,3 +40,14 @@ def closed_gaps(labels: DataFrame, label: str, dropped: DataFrame) -> DataFrame:
     d = dropped.select(F.col(label)).dropna().distinct().withColumn("_d", F.lit(1).cast("long"))
     marked = labels.select(label).dropna().distinct().join(d, label, "full").withColumn("_d", F.coalesce("_d", F.lit(0)))
     return with_running(marked, [F.col(label)], {"_below": F.col("_d")}).where("_d = 0").select(label, (F.col(label) - F.col("_below")).alias("new_label"))
+
+
+def with_running_max(df: DataFrame, order: list[Column], col: str, name: str) -> DataFrame:
+    """Adds the largest value of ``col`` up to the row in the total order."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    per = ranged.groupBy("_range").agg(F.max(col).alias("_m"))
+    # one row per partition
+    before = F.max("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(per.select("_range", before.alias("_before"))), "_range")
+    return out.withColumn(name, F.greatest(F.max(col).over(w), "_before")).drop("_range", "_before")
