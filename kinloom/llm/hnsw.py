@@ -17,8 +17,8 @@ neighbour arrays, with the shards' results merged.
 * A pair found from one side counts for the other side too, so a miss needs two
   failed searches.
 
-Shards are broadcast in passes of at most ``PASS_ROWS`` rows, a proven bound; a
-larger collection takes more passes. The index holds every row.
+The index is a table in the shared folder and holds every row; a worker reads one
+shard at a time, so neither the driver nor a broadcast ever holds it.
 
 Defined results: vectors that are null, of another length, all zero, or hold a
 null, NaN or infinity take no part; rows with one key are one vector (the
@@ -28,19 +28,21 @@ a collection of one vector has no neighbours.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.plans.lineage import cut
+from kinloom.plans.lineage import ensure_shared_folder
 
 SHARD_ROWS = 32_768
 SCAN_ROWS = 8_192
-PASS_ROWS = 262_144
 RATIO = 4
 LINKS = 16
 WIDTH = 32
@@ -50,6 +52,9 @@ EXPAND = 4
 BATCH = 1_024
 
 
+DOTS = 2_048
+
+
 # ---- numpy kernels -------------------------------------------------------------------------------------------------
 
 
@@ -72,23 +77,26 @@ def top_k(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(cols, pick, 1)
 
 
-def encode(rows: list, dim: int) -> list[bytes | None]:
-    """16-bit codes of usable vectors; None for the others."""
-    out: list[bytes | None] = []
-    for x in rows:
-        v = np.asarray(x, np.float32)
-        peak = np.abs(v).max() if len(v) == dim else 0.0
-        out.append(np.rint(v * (32767.0 / peak)).astype(np.int16).tobytes() if peak > 0 and np.isfinite(peak) and peak > 1e-30 else None)
+def dots(q: np.ndarray, r: np.ndarray, v: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Products of the rows ``q[r]`` and ``v[e]``, a cache-sized slice at a time."""
+    out = np.empty(len(r), np.float32)
+    for lo in range(0, len(r), DOTS):
+        np.einsum("ij,ij->i", q[r[lo : lo + DOTS]], v[e[lo : lo + DOTS]], out=out[lo : lo + DOTS])
     return out
 
 
+def decode_bytes(codes: bytes, dim: int) -> np.ndarray:
+    """Unit vectors of 16-bit codes."""
+    v = np.frombuffer(codes, np.int16).reshape(-1, dim).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v
+
+
 def decode(codes: list[bytes], dim: int) -> np.ndarray:
-    """Unit vectors of codes."""
-    v = np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), dim).astype(np.float32)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+    return decode_bytes(b"".join(codes), dim)
 
 
-def link_layer(v: np.ndarray, links: int, width: int, block: int = 1_024) -> np.ndarray:
+def link_layer(v: np.ndarray, links: int, width: int, block: int = 256) -> np.ndarray:
     """Flat neighbour array of one layer: up to ``width`` positions per node, nearest first, -1 where none."""
     n = len(v)
     k = min(links, n - 1)
@@ -140,7 +148,7 @@ def walk(q: np.ndarray, v: np.ndarray, flat: np.ndarray, start: np.ndarray, beam
     np.put_along_axis(seen, ids, True, 1)
     sims = np.full(ids.shape, -3, np.float32)
     r, c = np.nonzero(ids < n)
-    sims[r, c] = np.einsum("ij,ij->i", q[r], v[ids[r, c]])
+    sims[r, c] = dots(q, r, v, ids[r, c])
     done = ids == n
     beam = max(beam, ids.shape[1])
     for _ in range(hops):
@@ -158,7 +166,7 @@ def walk(q: np.ndarray, v: np.ndarray, flat: np.ndarray, start: np.ndarray, beam
         e = near[r, c]
         seen[r, e] = True
         new = np.full(near.shape, -3, np.float32)
-        new[r, c] = np.einsum("ij,ij->i", q[r], v[e])
+        new[r, c] = dots(q, r, v, e)
         ids, sims, done = np.concatenate([ids, near], 1), np.concatenate([sims, new], 1), np.concatenate([done, new < -2], 1)
         keep = top_k(sims, beam)
         ids, sims, done = (np.take_along_axis(x, keep, 1) for x in (ids, sims, done))
@@ -186,47 +194,59 @@ def search(q: np.ndarray, v: np.ndarray, layers: list, beam: int = BEAM) -> tupl
 # ---- Spark ---------------------------------------------------------------------------------------------------------
 
 
-def usable_vectors(df: DataFrame, key: str, vector: str, order: list[str], dim: int = 512, keep: list[str] = ()) -> DataFrame:
-    """One coded vector per key: ``key, code`` and the columns of ``keep``."""
-    slim = df.where((F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(*order).alias("o"), F.struct(*[F.col(c) for c in keep] or [F.lit(1)]).alias("kept"), F.col(vector).alias("v"))
+def coded_vectors(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512) -> DataFrame:
+    """``key, ord, code`` of the usable rows. Rows of one key in one batch are already brought to the first by ``ord, code``."""
+    slim = df.where((F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(order.cast("long"), F.lit(2**63 - 1)).alias("ord"), F.col(vector).alias("v"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a = b.column("v")
-            holes = a.flatten().null_count > 0
-            flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            m = flat.reshape(-1, dim)
-            if holes:
-                m = np.where(np.isnan(m), np.nan, m)
+            flat = b.column("v").flatten()
+            m = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             with np.errstate(all="ignore"):
-                peak = np.abs(m).max(axis=1) if len(m) else np.empty(0)
+                peak = np.abs(m).max(axis=1) if len(m) else np.empty(0, np.float32)
                 ok = np.isfinite(m).all(axis=1) & (peak > 1e-30) if len(m) else np.empty(0, bool)
-                q = np.rint(np.where(ok[:, None], m, 0) * (32767.0 / np.where(ok, peak, 1))[:, None]).astype(np.int16)
-            codes = pa.array([q[i].tobytes() if ok[i] else None for i in range(len(q))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("o"), b.column("kept"), codes], names=["key", "o", "kept", "code"])
+                q = np.rint(m[ok] * (32767.0 / peak[ok])[:, None]).astype(np.int16)
+            t = pd.DataFrame({"key": b.column("key").to_pandas()[ok], "ord": b.column("ord").to_pandas()[ok], "code": [x.tobytes() for x in q]})
+            yield pa.RecordBatch.from_pandas(first_rows(t), schema=_CODED, preserve_index=False)
+
+    return slim.mapInArrow(coded, "key string, ord long, code binary")
+
+
+_CODED = pa.schema([("key", pa.string()), ("ord", pa.int64()), ("code", pa.binary())])
+
+
+def first_rows(t: pd.DataFrame) -> pd.DataFrame:
+    """One row per key, the first by ``ord, code``, sorted by key."""
+    return t.sort_values(["key", "ord", "code"], ignore_index=True).drop_duplicates("key", ignore_index=True)
+
 
-    types = {c: t for c, t in slim.dtypes}
-    out = slim.mapInArrow(coded, f"key string, o {types['o']}, kept {types['kept']}, code binary").where("code is not null")
-    one = out.groupBy("key").agg(F.min(F.struct("o", "code", "kept")).alias("x"))
-    return one.select("key", "x.code", *[F.col(f"x.kept.{c}").alias(c) for c in keep])
+def usable_vectors(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512) -> DataFrame:
+    """``key, code``: one coded vector per key."""
+    coded = coded_vectors(df, key, vector, order, dim)
+    return coded.groupBy("key").agg(F.min(F.struct("ord", "code")).getField("code").alias("code"))
+
+
+_INDEX = "shard int, part int, keys array<string>, codes binary, nodes array<binary>, flat array<binary>"
 
 
 def _graph(dim: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", ignore_index=True)
+        pdf = first_rows(pdf)
         v = decode(pdf["code"].tolist(), dim)
         h = pd.util.hash_array(pdf["key"].to_numpy(object)).astype(np.uint64)
         u = (h >> np.uint64(11)).astype(np.float64) / 2.0**53
         levels = np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(RATIO)).astype(np.int64)
         layers = build(v, levels)
+        parts = range(0, len(pdf), BATCH)
+        first = [i == 0 for i in parts]
         return pd.DataFrame(
             {
-                "shard": [int(key[0])],
-                "keys": [pdf["key"].tolist()],
-                "codes": [b"".join(pdf["code"])],
-                "nodes": [[a.tobytes() for a, _ in layers]],
-                "flat": [[f.tobytes() for _, f in layers]],
-                "n": [len(pdf)],
+                "shard": int(key[0]),
+                "part": [i // BATCH for i in parts],
+                "keys": [pdf["key"].iloc[i : i + BATCH].tolist() for i in parts],
+                "codes": [b"".join(pdf["code"].iloc[i : i + BATCH]) for i in parts],
+                "nodes": [[a.tobytes() for a, _ in layers] if x else None for x in first],
+                "flat": [[f.tobytes() for _, f in layers] if x else None for x in first],
             }
         )
 
@@ -234,64 +254,60 @@ def _graph(dim: int):
 
 
 class Index:
-    """Graphs of all shards, kept as a table in the shared folder."""
-
-    def __init__(self, vectors: DataFrame, dim: int = 512, shard_rows: int = SHARD_ROWS):
-        vectors = cut(vectors)
-        self.n = vectors.count()
-        self.dim, self.shards = dim, max(1, -(-self.n // shard_rows))
-        self.vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
-        slim = self.vectors.select("shard", "key", "code")
-        # one shard per partition: a shard's rows are bounded by shard_rows up to the spread of the hash
-        slim = slim.repartitionByRange(self.shards, "shard") if self.shards > 1 else slim
-        schema = "shard int, keys array<string>, codes binary, nodes array<binary>, flat array<binary>, n long"
-        self.graphs = cut(slim.groupBy("shard").applyInPandas(_graph(dim), schema))
+    """Graphs of all shards, written as a table in the shared folder, from where every worker reads one shard at a time.
+
+    ``vectors``: ``key, code`` and, where keys may repeat, ``ord``. ``rows`` is an
+    upper bound of their number; by default they are counted.
+    """
+
+    def __init__(self, vectors: DataFrame, dim: int = 512, shard_rows: int = SHARD_ROWS, rows: int | None = None):
+        self.spark, self.dim = vectors.sparkSession, dim
+        self.shards = max(1, -(-(vectors.count() if rows is None else rows) // shard_rows))
+        self.path = f"{ensure_shared_folder(self.spark)}/kinloom-index-{uuid.uuid4().hex}"
+        if "ord" not in vectors.columns:
+            vectors = vectors.withColumn("ord", F.lit(0).cast("long"))
+        slim = vectors.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "ord", "code")
+        # small row groups, so that the queries are read in many tasks
+        slim.groupBy("shard").applyInPandas(_graph(dim), _INDEX).write.option("parquet.block.size", 4 << 20).parquet(self.path)
 
     def neighbours(self, k: int, min_sim: float) -> DataFrame:
-        """``key, other, sim`` for the up to k most similar others of every key in every shard, in either direction."""
-        spark = self.vectors.sparkSession
-        dim, out = self.dim, None
-        queries = self.vectors.select("shard", "key", "code").repartition(max(12, self.n // 4_096), "key")
-        per_pass = max(1, PASS_ROWS // SHARD_ROWS)
-        for lo in range(0, self.shards, per_pass):
-            held = []
-            for shard in range(lo, min(lo + per_pass, self.shards)):
-                # a shard has a bounded number of rows
-                held += [spark.sparkContext.broadcast((r.shard, r.keys, bytes(r.codes), [bytes(x) for x in r.nodes], [bytes(x) for x in r.flat])) for r in self.graphs.where(F.col("shard") == shard).collect()]
-            found = queries.mapInPandas(_searcher(held, dim, k, min_sim), "key string, other string, sim float")
-            out = found if out is None else out.unionByName(found)
-        return out
-
-
-def _searcher(held: list, dim: int, k: int, min_sim: float):
+        """``key, other, sim`` for the up to k most similar others of every key in every shard."""
+        queries = self.spark.read.schema(_INDEX).parquet(self.path).select("shard", "keys", "codes")
+        return queries.mapInPandas(_searcher(self.path, self.shards, self.dim, k, min_sim), "key string, other string, sim float")
+
+
+def _load(path: str, shard: int, dim: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Keys, unit vectors and layers of one shard."""
+    fs, place = pafs.FileSystem.from_uri(path)
+    t = pads.dataset(place, filesystem=fs, format="parquet").to_table(filter=pads.field("shard") == shard).sort_by("part").to_pydict()
+    keys = np.array([k for ks in t["keys"] for k in ks], object)
+    if not len(keys):
+        return keys, np.empty((0, dim), np.float32), []
+    v = decode_bytes(b"".join(t.pop("codes")), dim)
+    layers = [(np.frombuffer(a, np.int32), np.frombuffer(f, np.int32).reshape(-1, WIDTH)) for a, f in zip(t["nodes"][0], t["flat"][0], strict=True)]
+    return keys, v, layers
+
+
+def _searcher(path: str, shards: int, dim: int, k: int, min_sim: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"shard": [], "key": [], "code": []})], ignore_index=True)
-        if pdf.empty:
-            return
-        names, home = pdf["key"].to_numpy(object), pdf["shard"].to_numpy()
-        q = decode(pdf["code"].tolist(), dim)
-        del pdf
-        for b in held:
-            shard, keys, codes, nodes, flat = b.value
-            keys = np.asarray(keys, object)
-            v = np.frombuffer(codes, np.int16).reshape(len(keys), dim).astype(np.float32)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            layers = [(np.frombuffer(a, np.int32), np.frombuffer(f, np.int32).reshape(-1, WIDTH)) for a, f in zip(nodes, flat, strict=True)]
-            own, far = np.flatnonzero(home == shard), np.flatnonzero(home != shard)
-            if len(own) and len(keys) > 1:
-                me = np.searchsorted(keys, names[own])
-                near = layers[0][1][me]
-                for lo in range(0, len(own), BATCH):
-                    e = near[lo : lo + BATCH]
-                    r, c = np.nonzero(e >= 0)
-                    s = np.full(e.shape, -3, np.float32)
-                    s[r, c] = np.einsum("ij,ij->i", q[own[lo : lo + BATCH]][r], v[e[r, c]])
-                    yield _best(names[own[lo : lo + BATCH]], keys, e, s, k, min_sim)
-            for lo in range(0, len(far), BATCH):
-                part = far[lo : lo + BATCH]
-                ids, s = search(q[part], v, layers)
-                yield _best(names[part], keys, ids, s, k, min_sim)
-            del v, codes, keys, layers
+        # chunks of at most BATCH coded vectors; a task holds those of its input split
+        chunks = [(int(s), np.asarray(n, object), c) for pdf in batches for s, n, c in zip(pdf["shard"], pdf["keys"], pdf["codes"], strict=True)]
+        for shard in range(shards if chunks else 0):
+            keys, v, layers = _load(path, shard, dim)
+            if not len(keys):
+                continue
+            for home, names, codes in chunks:
+                q = decode_bytes(codes, dim)
+                if home != shard:
+                    ids, s = search(q, v, layers)
+                elif len(keys) > 1:
+                    ids = layers[0][1][np.searchsorted(keys, names)]
+                    r, c = np.nonzero(ids >= 0)
+                    s = np.full(ids.shape, -3, np.float32)
+                    s[r, c] = dots(q, r, v, ids[r, c])
+                else:
+                    continue
+                yield _best(names, keys, ids, s, k, min_sim)
 
     return run
 

@@ -18,24 +18,22 @@ def query(f):
     return f
 
 
-def _image_neighbours(spark: SparkSession, d: str, k: int, min_sim: float) -> tuple[hnsw.Index, DataFrame]:
-    vectors = hnsw.usable_vectors(table(spark, d, "image_embedding"), "img_key", "embedding", ["loaded_at"], keep=["person_id"])
-    index = hnsw.Index(vectors)
-    return index, index.neighbours(k, min_sim)
+def _image_neighbours(spark: SparkSession, d: str, k: int, min_sim: float) -> DataFrame:
+    images = table(spark, d, "image_embedding")
+    coded = hnsw.coded_vectors(images, "img_key", "embedding", F.unix_micros(F.col("loaded_at").cast("timestamp")))
+    return hnsw.Index(coded, rows=images.count()).neighbours(k, min_sim)
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    _, found = _image_neighbours(spark, d, 8, 0.5)
-    top = hnsw.most_similar(found, 5)
+    top = hnsw.most_similar(_image_neighbours(spark, d, 8, 0.5), 5)
     return top.select(F.least("key", "other").alias("img_key_a"), F.greatest("key", "other").alias("img_key_b")).distinct()
 
 
 @query
 def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
-    index, found = _image_neighbours(spark, d, 8, -1.0)
-    top = hnsw.most_similar(found, 5)
-    person = index.vectors.select(F.col("key").alias("other"), F.col("person_id").alias("other_person_id"))
+    top = hnsw.most_similar(_image_neighbours(spark, d, 8, -1.0), 5)
+    person = table(spark, d, "image_embedding").groupBy(F.col("img_key").alias("other")).agg(F.min_by("person_id", "loaded_at").alias("other_person_id"))
     return top.join(person, "other").select(F.col("key").alias("img_key"), "rank", F.col("other").alias("other_img_key"), "other_person_id", F.round(F.col("sim").cast("double"), 4).alias("cosine"))
 
 
@@ -140,19 +138,19 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _language_segments(spark, d).drop("label")
 
 
-def _face_clusters(spark: SparkSession, d: str, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    vectors = hnsw.usable_vectors(table(spark, d, "contaminated_cfp_embeddings"), "rel_path", "embedding", ["seq_no"], keep=keep)
-    return vectors, clusters.similarity_clusters(vectors, 0.46)
+def _face_clusters(spark: SparkSession, d: str) -> DataFrame:
+    vectors = hnsw.usable_vectors(table(spark, d, "contaminated_cfp_embeddings"), "rel_path", "embedding", F.col("seq_no"))
+    return clusters.similarity_clusters(vectors, 0.46)
 
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    _, members = _face_clusters(spark, d)
+    members = _face_clusters(spark, d)
     size = members.where("closed").groupBy("cluster").agg(F.min("key").alias("cluster_path"), F.count("*").alias("n")).where("n >= 3")
     return members.join(size, "cluster").select("cluster_path", F.col("key").alias("rel_path"))
 
 
 @query
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    vectors, members = _face_clusters(spark, d, ["assigned_id"])
-    return clusters.described(members.join(vectors.select("key", "assigned_id"), "key"), "assigned_id")
+    hosts = table(spark, d, "contaminated_cfp_embeddings").groupBy(F.col("rel_path").alias("key")).agg(F.min("assigned_id").alias("assigned_id"))
+    return clusters.described(_face_clusters(spark, d).join(hosts, "key"), "assigned_id")
