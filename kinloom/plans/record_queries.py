@@ -30,7 +30,7 @@ def count_buckets(spark, d):
     return profile.bucket_distribution(_per_order(spark, d), "n")
 
 
-SQL["count_buckets"] = f"with {_PO}, b as (select n, case when n between 3 and 5 then '3-5' when n between 6 and 10 then '6-10' when n between 11 and 20 then '11-20' when n between 21 and 50 then '21-50' when n between 51 and 100 then '51-100' when n between 101 and 200 then '101-200' when n >= 201 then '201+' end bucket from po) select bucket, count(*) ids, sum(n) \"rows\" from b where bucket is not null group by 1"
+SQL["count_buckets"] = f"with {_PO}, b as (select n, case when n between 3 and 5 then '3-5' when n between 6 and 10 then '6-10' when n between 11 and 20 then '11-20' when n between 21 and 50 then '21-50' when n between 51 and 100 then '51-100' when n between 101 and 200 then '101-200' when n >= 201 then '201+' end bucket from po) select bucket, count(*) ids, sum(n)::bigint \"rows\" from b where bucket is not null group by 1"
 
 
 @query
@@ -62,7 +62,7 @@ def coverage_audit(spark, d):
     return profile.coverage(table(spark, d, "lineitem"), "l_orderkey", 20_000, 6)
 
 
-SQL["coverage_audit"] = f"with {_PO}, a as (select count(*) filter (l_orderkey between 0 and 19999) n_present, coalesce(sum(n) filter (l_orderkey not between 0 and 19999), 0) n_out_of_range, count(*) filter (l_orderkey between 0 and 19999 and n > 6) n_large from po) select n_present, n_out_of_range, n_large, 20000 - n_present n_missing, n_present = 20000 and n_out_of_range = 0 passed from a"
+SQL["coverage_audit"] = f"with {_PO}, a as (select count(*) filter (l_orderkey between 0 and 19999) n_present, coalesce(sum(n) filter (l_orderkey not between 0 and 19999), 0)::bigint n_out_of_range, count(*) filter (l_orderkey between 0 and 19999 and n > 6) n_large from po) select n_present, n_out_of_range, n_large, 20000 - n_present n_missing, n_present = 20000 and n_out_of_range = 0 passed from a"
 
 
 @query
@@ -97,7 +97,7 @@ def before_after_report(spark, d):
 
 
 SQL["before_after_report"] = """with d as (select doc_id, source, md5(coalesce(text, '')) k from documents), f as (select arg_min(source, doc_id) as x, k, min(doc_id) doc_id from d group by k), a as (select d.source from d join f using (doc_id)),
-c as (select 'before' stage, source, count(*) n from d group by 2 union all select 'after', source, count(*) from a group by 2) select stage, sum(n) n_rows, count(*) n_ids, round(avg(n), 6) mean_per_id, max(n) most_per_id from c group by 1"""
+c as (select 'before' stage, source, count(*) n from d group by 2 union all select 'after', source, count(*) from a group by 2) select stage, sum(n)::bigint n_rows, count(*) n_ids, round(avg(n), 6) mean_per_id, max(n) most_per_id from c group by 1"""
 
 
 @query
@@ -269,7 +269,7 @@ def reindex_gap_close(spark, d):
     return ordered.closed_gaps(orders, "o_orderkey", orders.where("o_orderkey % 10 = 3"))
 
 
-SQL["reindex_gap_close"] = "with m as (select o_orderkey, o_orderkey % 10 = 3 x from orders), r as (select *, sum(x::int) over (order by o_orderkey) below from m) select o_orderkey, o_orderkey - below new_label from r where not x"
+SQL["reindex_gap_close"] = "with m as (select o_orderkey, o_orderkey % 10 = 3 x from orders), r as (select *, sum(x::int) over (order by o_orderkey) below from m) select o_orderkey, (o_orderkey - below)::bigint new_label from r where not x"
 
 
 @query

@@ -357,7 +357,7 @@ def contamination_sweep(spark, d):
 def _sweep_sql(eps: float) -> str:
     s = _DB.replace("0.28", f"{1 - eps:.2f}")
     return f"""select * from ({s}, n as (select "key", cluster, count(*) filter (id % 5 <> 0) g, count(*) n from lb where cluster >= 0 group by 1, 2), mn as (select "key", arg_min(g, (-g, cluster)) g, arg_min(n, (-g, cluster)) n from n group by 1), t as (select "key", count(*) filter (id % 5 <> 0) genuine from lb group by 1)
-select {eps}::double eps, sum(genuine) n_genuine, coalesce(sum(g), 0) n_kept, coalesce(sum(n - g), 0) n_leaked, count(*) filter (n > g) n_dirty, round(coalesce(sum(g), 0) / sum(genuine), 6) retention from t left join mn using ("key"))"""
+select {eps}::double eps, sum(genuine)::bigint n_genuine, coalesce(sum(g), 0)::bigint n_kept, coalesce(sum(n - g), 0)::bigint n_leaked, count(*) filter (n > g) n_dirty, round(coalesce(sum(g), 0) / sum(genuine), 6) retention from t left join mn using ("key"))"""
 
 
 SQL["contamination_sweep"] = " union all ".join(_sweep_sql(x) for x in (0.70, 0.72, 0.74))
