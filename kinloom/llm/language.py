@@ -37,7 +37,7 @@ ORDER = 5
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 8_000
 CAP_BITS = 12.0
-CHANGE_BITS = 40.0
+CHANGE_BITS = 25.0
 UNIT_WORDS = 12
 
 # Cyrillic letters that look like Latin ones, and the Latin ones.
