@@ -78,3 +78,12 @@ def unequal_prefix(a: DataFrame, b: DataFrame, key: str, *cols: str) -> DataFram
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Resume: the rows whose key is not among the finished ones."""
     return work.join(done.select(key).distinct(), key, "left_anti")
+
+
+def even_shares(df: DataFrame, order: str, ranks: int) -> DataFrame:
+    """``order, rank, place``: rows dealt to ranks in turn; the first rows are repeated until all shares are equal."""
+    total = df.agg(F.count("*").alias("_n"))
+    p = with_row_number(df.select(order), [F.col(order)], "_no").join(F.broadcast(total)).withColumn("_i", F.col("_no") - 1)
+    fill = (ranks - F.col("_n") % ranks) % ranks
+    at = F.explode(F.when(F.col("_i") < fill, F.array(F.col("_i"), F.col("_n") + F.col("_i"))).otherwise(F.array("_i")))
+    return p.select(order, at.alias("_at")).select(order, F.pmod("_at", F.lit(ranks)).cast("int").alias("rank"), F.floor(F.col("_at") / ranks).alias("place"))
