@@ -50,6 +50,7 @@ BEAM = 32
 HOPS = 3
 EXPAND = 4
 BATCH = 1_024
+FILE_BATCHES = 8
 
 
 DOTS = 2_048
@@ -267,8 +268,8 @@ class Index:
         if "ord" not in vectors.columns:
             vectors = vectors.withColumn("ord", F.lit(0).cast("long"))
         slim = vectors.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "ord", "code")
-        # small row groups, so that the queries are read in many tasks
-        slim.groupBy("shard").applyInPandas(_graph(dim), _INDEX).write.option("parquet.block.size", 4 << 20).parquet(self.path)
+        # small files, so that the queries are read in many tasks
+        slim.groupBy("shard").applyInPandas(_graph(dim), _INDEX).write.option("maxRecordsPerFile", FILE_BATCHES).parquet(self.path)
 
     def neighbours(self, k: int, min_sim: float) -> DataFrame:
         """``key, other, sim`` for the up to k most similar others of every key in every shard."""
@@ -321,7 +322,9 @@ def _best(names: np.ndarray, keys: np.ndarray, ids: np.ndarray, sims: np.ndarray
 
 def both_ways(found: DataFrame) -> DataFrame:
     """Each found pair for both of its keys, once."""
-    return found.unionByName(found.select(F.col("other").alias("key"), F.col("key").alias("other"), "sim")).groupBy("key", "other").agg(F.max("sim").alias("sim"))
+    # one pass: a union would run the searches twice
+    ways = F.array(F.struct("key", "other", "sim"), F.struct(F.col("other").alias("key"), F.col("key").alias("other"), "sim"))
+    return found.select(F.explode(ways).alias("p")).groupBy("p.key", "p.other").agg(F.max("p.sim").alias("sim"))
 
 
 def most_similar(found: DataFrame, k: int) -> DataFrame:
