@@ -50,8 +50,9 @@ SQL["crop_boxes"] = "select distinct s3_path, face_index, greatest(0, trunc(bbox
 
 @query
 def face_alignment(spark, d):
+    """Transforms of the landmarks, on a grid of 1/512: the engines round decimal halves in different ways."""
     f = table(spark, d, "faces_exploded").where(F.size("landmark") == 10).select("s3_path", "face_index", "landmark").distinct()
-    m = f.select("s3_path", "face_index", alignment(F.col("landmark")).alias("m")).select("s3_path", "face_index", *[F.round(f"m.{c}", 6).alias(c) for c in ("a", "b", "tx", "ty")])
+    m = f.select("s3_path", "face_index", alignment(F.col("landmark")).alias("m")).select("s3_path", "face_index", *[(F.floor(F.col(f"m.{c}") * 512 + 0.3) / 512).alias(c) for c in ("a", "b", "tx", "ty")])
     return m.distinct()
 
 
@@ -61,7 +62,7 @@ SQL["face_alignment"] = f"""with f as (select distinct s3_path, face_index, land
 p as (select s3_path, face_index, landmark, unnest([1, 2, 3, 4, 5]) i from f), x as (select s3_path, face_index, landmark, landmark[2 * i - 1] x, landmark[2 * i] y, {_U}[i] u, {_V}[i] v from p),
 m as (select s3_path, face_index, landmark, avg(x) mx, avg(y) my, avg(u) mu, avg(v) mv from x group by 1, 2, 3),
 s as (select m.*, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) / sum((x - mx) ** 2 + (y - my) ** 2) a, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) / sum((x - mx) ** 2 + (y - my) ** 2) b from m join x using (s3_path, face_index, landmark) group by all)
-select distinct s3_path, face_index, round(a, 6) a, round(b, 6) b, round(mu - a * mx + b * my, 6) tx, round(mv - b * mx - a * my, 6) ty from s"""
+select distinct s3_path, face_index, floor(a * 512 + 0.3) / 512 a, floor(b * 512 + 0.3) / 512 b, floor((mu - a * mx + b * my) * 512 + 0.3) / 512 tx, floor((mv - b * mx - a * my) * 512 + 0.3) / 512 ty from s"""
 
 
 @query
