@@ -52,7 +52,8 @@ select min(root) group_id, id person_id from r group by id"""
 
 def _person_members(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     rules = survivor.filled_fields()
-    p = survivor.with_fill(table(spark, d, "person_records"), rules).withColumn("src_key", bare(F.col("src")))
+    records = table(spark, d, "person_records").select("rec_id", "src", "person_id", *rules, "updated_at")
+    p = survivor.with_fill(records, rules).withColumn("src_key", bare(F.col("src")))
     m = table(spark, d, "label_map").where("final_id >= 0").select(bare(F.col("src")).alias("src_key"), F.col("orig_id").alias("person_id"), F.col("final_id").alias("group_id")).dropna().distinct()
     trust = table(spark, d, "source_trust").groupBy(bare(F.col("src")).alias("src_key")).agg(F.min("trust_rank").alias("trust"))
     joined = p.join(m, ["src_key", "person_id"]).join(trust, "src_key", "left").withColumn("trust_rank", F.coalesce("trust", F.lit(survivor.LEAST_TRUST)))

@@ -47,9 +47,9 @@ def _order() -> list[Column]:
 
 def leaders(members: DataFrame) -> DataFrame:
     """The first record of each ``group_id`` by completeness, trust and recency."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)))
-    first = salted.withColumn("no", F.row_number().over(Window.partitionBy("group_id", "salt").orderBy(*_order()))).where("no = 1")
-    return first.withColumn("no", F.row_number().over(Window.partitionBy("group_id").orderBy(*_order()))).where("no = 1").drop("no", "salt")
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)))
+    first = salted.withColumn("_no", F.row_number().over(Window.partitionBy("group_id", "_salt").orderBy(*_order()))).where("_no = 1")
+    return first.withColumn("_no", F.row_number().over(Window.partitionBy("group_id").orderBy(*_order()))).where("_no = 1").drop("_no", "_salt")
 
 
 def group_bests(members: DataFrame, fields: list[str]) -> DataFrame:
@@ -68,7 +68,8 @@ def group_bests(members: DataFrame, fields: list[str]) -> DataFrame:
 def unbeaten(members: DataFrame, fields: list[str]) -> DataFrame:
     """Leaders that no other member beats in any field, in time or in trust; groups of two or more."""
     b = group_bests(members, fields)
-    top = leaders(members).join(b, "group_id")
+    # a case keeps its own columns only by name, so extra ones cannot clash
+    top = leaders(members.select("group_id", "rec_id", "has", "n_filled", "trust_rank", "updated_at")).join(b, "group_id")
     return top.where((F.col("n_members") >= 2) & (F.col("has") == F.col("any_has")) & F.col("updated_at").isNotNull() & (F.col("updated_at") == F.col("last.updated_at")) & (F.col("last.n") == 1) & (F.col("trust_rank") == F.col("best_trust")))
 
 

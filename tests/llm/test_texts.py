@@ -133,3 +133,17 @@ def test_survivors(spark):
     assert (built[2].birth_year, built[2].country, built[2].lead_rec_id) == (1980, "corvia", 21)
     assert built[1].n_members == 2 and built[4].name == "Di"
     assert survivor.leaders(m).count() == 5
+
+
+def test_clashing_extra_columns(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, 10, "Ann", 1980, "a", 5, "k", t, 1), (1, 11, None, None, None, None, None, None, 2)], "group_id long, rec_id long, name string, birth_year int, country string, img_count long, best_img_key string, updated_at timestamp, trust_rank int")
+    extra = df.select("*", *[F.lit(3).alias(c) for c in ("salt", "no", "n_members", "last", "any_has", "best_trust")])
+    rules = survivor.filled_fields()
+    m = survivor.with_fill(extra, rules)
+    assert [r.rec_id for r in survivor.unbeaten(m, list(rules)).collect()] == [10] and survivor.leaders(m).first()["no"] == 3
+    docs = spark.createDataFrame([(1, ITEM, "en", 1, 2)], "doc_id long, text string, lang string, item_id int, label int")
+    items = spark.createDataFrame([(1, ITEM, 5)], "item_id long, text string, doc_id int")
+    assert [tuple(r) for r in leakage.leaked_items(docs, items).collect()] == [(1, 1)]
+    assert language.language_segments(docs, {"en": Counter(EN.split()), "de": Counter(DE.split())}).count() == 1
+    assert packing.token_counts(docs.withColumn("n_tokens", F.lit(1))).count() == 1
