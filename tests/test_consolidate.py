@@ -53,3 +53,10 @@ def test_write_and_empty(spark, tmp_path):
     c.write_consolidated(m, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out/data").count() == 1
     assert run(spark, []).count() == 0
+
+
+def test_extra_columns_and_a_cut_number(spark):
+    df = spark.createDataFrame([("a", f'person_id,aligned_s3_path,det\n1,{P}/1.jpg,1\n1,{P}/2.jpg,0', "x", 1, "y"), (None, f"1,{P}/3.jpg,0.5\n", None, None, None)], "file_key string, body string, obj string, line_no int, head string")
+    m = consolidate_rows(df, 1 << 20)
+    assert sorted((r.obj, r.file_key) for r in m.collect()) == [(f"{P}/1.jpg", "a"), (f"{P}/3.jpg", None)]
+    assert c.files_sharing_objects(m).count() == 0
