@@ -39,6 +39,7 @@ SAMPLE_CHARS = 8_000
 CAP_BITS = 12.0
 CHANGE_BITS = 25.0
 UNIT_WORDS = 12
+TEXTS = 500
 
 # Cyrillic letters that look like Latin ones, and the Latin ones.
 _ALIKE = str.maketrans("аеорсухіјѕһ", "aeopcyxijsh")
@@ -61,6 +62,8 @@ _CODE_LINE = re.compile(
     r"(?m)^[ \t]*(?:[|$].*|\{.*|(?:\d{4}-\d\d-\d\d|\d\d:\d\d|\[\d).*|(?:python\d?|pip|def|class|import|from|return|for|if|while|sudo|git|cd|ls|select|INFO|WARN(?:ING)?|ERROR|DEBUG)\b[^\n]*[=(){}\[\];/\\].*|(?:\w+=\S+[ \t,]*)+)$",
     re.I,
 )
+# signs without which no line is code
+_CODE_SIGN = re.compile(r"[|$={}\[\]();/\\]|\d\d:\d\d|\d{4}-\d\d")
 _TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _CODE_WORD = re.compile(r"(?<!\S)[^\s\d_=/\\{}<>|@#$%^*~`]*[\d_=/\\{}<>|@#$%^*~`]\S*")
 _TOKEN = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+|[.,;:!?\n。，；：！？、()\"]")
@@ -88,7 +91,9 @@ def prose(text: str) -> str:
         text = _FENCE.sub(blank, text)
     if "<" in text:
         text = _TAGS.sub(blank, text)
-    return _CODE_WORD.sub(blank, _CODE_LINE.sub(blank, text))
+    if _CODE_SIGN.search(text):
+        text = _CODE_LINE.sub(blank, text)
+    return _CODE_WORD.sub(blank, text)
 
 
 def word_counts(text: str | None) -> Counter:
@@ -97,11 +102,28 @@ def word_counts(text: str | None) -> Counter:
     return Counter(w for w in _TOKEN.findall(prose(unicodedata.normalize("NFC", text)).lower()) if w[0].isalpha())
 
 
+def _key(context: bytes) -> int:
+    """A context of up to five bytes and its length as one number."""
+    return int.from_bytes(context, "big") | (len(context) + 1) << 40
+
+
+def _spelling(token: str) -> str | None:
+    """The word to be coded; None for punctuation and for words of look-alike letters only."""
+    if not token[0].isalpha():
+        return None
+    latin = token.translate(_ALIKE)
+    if latin == token:
+        return token
+    if any(c.isascii() for c in token):
+        return latin
+    return None if latin.isascii() else token
+
+
 class ContextTrees:
     """Frozen counts of all languages and the code lengths under them."""
 
     def __init__(self, counts: dict[str, Counter]):
-        self.trees = []
+        found: list[dict[int, int]] = []
         for lang in LANGUAGES:
             words: Counter = Counter()
             for w, n in counts.get(lang, {}).items():
@@ -109,95 +131,100 @@ class ContextTrees:
                 plain = _MARKS.sub("", unicodedata.normalize("NFD", w))
                 if plain != w:
                     words[plain] += max(1, n // 4)
-            nodes: dict[bytes, dict[int, int]] = {}
+            seen: dict[int, int] = {}
             for w, n in words.items():
                 b = f" {w} ".encode()
                 for i in range(1, len(b)):
                     for o in range(min(ORDER, i) + 1):
-                        node = nodes.setdefault(b[i - o : i], {})
-                        node[b[i]] = node.get(b[i], 0) + n
-            self.trees.append({c: (sum(d.values()), len(d), d) for c, d in nodes.items()})
+                        k = _key(b[i - o : i]) << 8 | b[i]
+                        seen[k] = seen.get(k, 0) + n
+            found.append(seen)
+        # one row per context (and per context and symbol) for all languages
+        self.pairs = np.array(sorted({k for x in found for k in x}), np.int64)
+        n = np.array([[x.get(k, 0) for x in found] for k in self.pairs.tolist()], np.float64).reshape(-1, len(LANGUAGES))
+        self.contexts, at = np.unique(self.pairs >> 8, return_inverse=True)
+        total, kinds = np.zeros((len(self.contexts), len(LANGUAGES))), np.zeros((len(self.contexts), len(LANGUAGES)))
+        np.add.at(total, at, n)
+        np.add.at(kinds, at, n > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # method C: an escape counts as often as there are different symbols; a context not seen costs nothing
+            self.escape = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            self.symbol = np.where(n > 0, -np.log2(n / (total + kinds)[at]), np.nan)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = [np.zeros(len(LANGUAGES))]
         self.held = np.zeros((0, len(LANGUAGES)))
-
-    def bits(self, word: str) -> np.ndarray:
-        """Exact code length of a word under each language."""
-        b = f" {word} ".encode()
-        out = np.empty(len(LANGUAGES))
-        for n, tree in enumerate(self.trees):
-            p, total = 1.0, 0.0
-            for i in range(1, len(b)):
-                for o in range(min(ORDER, i), -1, -1):
-                    node = tree.get(b[i - o : i])
-                    if node is None:
-                        continue
-                    seen = node[2].get(b[i])
-                    if seen:
-                        p *= seen / (node[0] + node[1])
-                        break
-                    p *= node[1] / (node[0] + node[1])
-                else:
-                    p /= 256
-                if p < 1e-200:
-                    total, p = total - np.log2(p), 1.0
-            out[n] = total - np.log2(p)
-        return out
-
-    def evidence(self, word: str) -> np.ndarray:
-        """Bits that each language costs more than the cheapest, at most ``CAP_BITS``; zeros for a word of look-alike letters only."""
-        if not word[0].isalpha():
-            return self.rows[0]
-        latin = word.translate(_ALIKE)
-        if latin != word:
-            if latin.isascii() and not any(c.isascii() for c in word):
-                return self.rows[0]
-            if any(c.isascii() for c in word):
-                word = latin
-        b = self.bits(word)
-        return np.minimum(b - b.min(), CAP_BITS)
-
-    def matrix(self, tokens: list[str]) -> np.ndarray:
-        """Evidence of every token; zeros for punctuation. Computed once per distinct word."""
+        self.is_word = np.zeros(0, bool)
+
+    def bits(self, words: list[str]) -> np.ndarray:
+        """Exact code lengths of words, one row per word and one column per language."""
+        coded = [f" {w} ".encode() for w in words]
+        size = np.array([len(b) for b in coded])
+        text = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
+        start = np.cumsum(size) - size
+        place = np.arange(len(text)) - np.repeat(start, size)
+        keys = [np.zeros(len(text), np.int64)]
+        for o in range(1, ORDER + 1):
+            before = np.zeros(len(text), np.int64)
+            before[o:] = text[:-o]
+            keys.append(keys[-1] | before << 8 * (o - 1))
+        cost = np.zeros((len(text), len(LANGUAGES)))
+        open_ = np.ones(cost.shape, bool)
+        open_[start] = False
+        for o in range(ORDER, -1, -1):
+            key = keys[o] | (o + 1) << 40
+            at = np.flatnonzero((place >= max(o, 1)))
+            c = np.minimum(np.searchsorted(self.contexts, key[at]), len(self.contexts) - 1)
+            known = self.contexts[c] == key[at]
+            at, c = at[known], c[known]
+            pair = key[at] << 8 | text[at]
+            p = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            hit = np.where((self.pairs[p] == pair)[:, None], self.symbol[p], np.nan)
+            was, got = open_[at], ~np.isnan(hit)
+            cost[at] += np.where(was, np.where(got, hit, self.escape[c]), 0.0)
+            open_[at] = was & ~got
+        cost[open_] += 8.0
+        return np.add.reduceat(cost, start, axis=0)
+
+    def learn(self, tokens: set[str]) -> None:
+        """Evidence of new tokens: the bits that each language costs more than the cheapest, at most ``CAP_BITS``; zeros for punctuation and for words of look-alike letters only."""
         if len(self.known) > 500_000:
             self.clear()
-        known, rows = self.known, self.rows
-        ids = np.empty(len(tokens), np.int64)
-        for i, t in enumerate(tokens):
-            n = known.get(t)
-            if n is None:
-                n = known[t] = len(rows)
-                rows.append(self.evidence(t))
-            ids[i] = n
-        if len(self.held) < len(rows):
-            fresh = np.array(rows[len(self.held) :])
-            # grown by doubling would copy less; a batch of new words is small beside the scan
-            self.held = np.concatenate([self.held, fresh])
-        return self.held[ids]
+        new = [t for t in tokens if t not in self.known]
+        if not new:
+            return
+        spelt = [_spelling(t) for t in new]
+        rows = np.zeros((len(new), len(LANGUAGES)))
+        at = [i for i, w in enumerate(spelt) if w]
+        if at and len(self.pairs):
+            b = self.bits([spelt[i] for i in at])
+            rows[at] = np.minimum(b - b.min(axis=1, keepdims=True), CAP_BITS)
+        self.known.update(zip(new, range(len(self.held), len(self.held) + len(new)), strict=True))
+        self.held = np.concatenate([self.held, rows])
+        self.is_word = np.concatenate([self.is_word, [t[0].isalpha() for t in new]])
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """Rows of learnt tokens in ``held`` and ``is_word``."""
+        return np.array(list(map(self.known.__getitem__, tokens)), np.int64)
 
     def best(self, words: Counter) -> str | None:
         if not words:
             return None
-        return LANGUAGES[int(np.argmin(np.array(list(words.values())) @ self.matrix(list(words))))]
-
-
-def _units(tokens: list[str]) -> list[tuple[int, int]]:
-    """Token ranges between punctuation, of at most ``UNIT_WORDS`` words."""
-    out, lo, n = [], 0, 0
-    for i, t in enumerate(tokens):
-        if t[0].isalpha():
-            n += 1
-            if n < UNIT_WORDS:
-                continue
-        if n:
-            out.append((lo, i + 1))
-        lo, n = i + 1, 0
-    if n:
-        out.append((lo, len(tokens)))
-    return out
+        self.learn(set(words))
+        ids = self.numbers(list(words))
+        return LANGUAGES[int(np.argmin(np.array(list(words.values())) @ self.held[ids]))]
+
+
+def _units(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words, and where among them units begin and end: between punctuation, at most ``UNIT_WORDS`` words."""
+    at = np.flatnonzero(is_word)
+    piece = np.cumsum(~is_word)[at]
+    place = np.arange(len(at))
+    new = np.ones(len(at), bool)
+    new[1:] = piece[1:] != piece[:-1]
+    begin = np.flatnonzero(new | ((place - np.maximum.accumulate(np.where(new, place, 0))) % UNIT_WORDS == 0))
+    return at, begin, np.append(begin[1:], len(at))
 
 
 def _path(cost: np.ndarray, change: float = CHANGE_BITS) -> np.ndarray:
@@ -230,21 +257,28 @@ def _model(name: str, counts: dict[str, dict[str, int]]) -> ContextTrees:
 
 def segments(model: ContextTrees, text: str | None) -> list[tuple[int, int, str, float, int]]:
     """(start, end, language, confidence, words) of the stretches of a text, offsets in characters of the NFC text."""
-    if not text:
-        return []
-    low = prose(unicodedata.normalize("NFC", text)).lower()
-    tokens = _TOKEN.findall(low)
-    units = _units(tokens)
-    if not units:
+    return next(all_segments(model, [text]))
+
+
+def all_segments(model: ContextTrees, texts: list[str | None]) -> Iterator[list[tuple[int, int, str, float, int]]]:
+    """:func:`segments` of many texts; new words are learnt for all of them at once."""
+    low = [prose(unicodedata.normalize("NFC", t)).lower() if t else "" for t in texts]
+    tokens = [_TOKEN.findall(t) for t in low]
+    model.learn({w for x in tokens for w in x})
+    for t, plain, words in zip(texts, low, tokens, strict=True):
+        yield _stretches(model, t, plain, words) if words else []
+
+
+def _stretches(model: ContextTrees, text: str, low: str, tokens: list[str]) -> list[tuple[int, int, str, float, int]]:
+    ids = model.numbers(tokens)
+    at, begin, end = _units(model.is_word[ids])
+    if not len(at):
         return []
-    total = np.zeros((len(tokens) + 1, len(LANGUAGES)))
-    np.cumsum(model.matrix(tokens), axis=0, out=total[1:])
-    lo, hi = np.array([u[0] for u in units]), np.array([u[1] for u in units])
-    cost = total[hi] - total[lo]
+    cost = np.add.reduceat(model.held[ids[at]], begin, axis=0)
     best = int(np.argmin(cost.sum(axis=0)))
     # where no run of units can pay for a change, the whole text has one language
     if np.maximum(cost[:, best] - cost.min(axis=1), 0).sum() <= CHANGE_BITS:
-        path = np.full(len(units), best)
+        path = np.full(len(begin), best)
         spans = None
     else:
         path = _path(cost)
@@ -254,10 +288,10 @@ def segments(model: ContextTrees, text: str | None) -> list[tuple[int, int, str,
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         c = cost[a:b].sum(axis=0)
         lang = int(path[a])
-        words = sum(t[0].isalpha() for t in tokens[lo[a] : hi[b - 1]])
+        first, last = at[begin[a]], at[end[b - 1] - 1]
         odds = np.exp2(-np.clip(c - c[lang], -60, 60))
-        where = (spans[lo[a]][0], spans[hi[b - 1] - 1][1]) if spans else (0, len(text))
-        out.append((*where, LANGUAGES[lang], float(1 / odds.sum()), words))
+        where = (spans[first][0], spans[last][1]) if spans else (0, len(text))
+        out.append((*where, LANGUAGES[lang], float(1 / odds.sum()), int(end[b - 1] - begin[a])))
     return out
 
 
@@ -292,7 +326,11 @@ def language_segments(docs: DataFrame, counts: dict[str, Counter], doc_id: str =
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(*held.value)
         for pdf in batches:
-            rows = [(d, label_code(x), n, *s) for d, t, x in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True) for n, s in enumerate(segments(model, t))]
+            rows = []
+            for lo in range(0, len(pdf), TEXTS):
+                part = pdf.iloc[lo : lo + TEXTS]
+                found = all_segments(model, part["text"].tolist())
+                rows += [(d, label_code(x), n, *s) for d, x, f in zip(part["doc_id"], part["label"], found, strict=True) for n, s in enumerate(f)]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "seg_no", "start", "end", "lang", "confidence", "n_words"])
 
     slim = docs.where(F.col(text) != "").select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("label"))

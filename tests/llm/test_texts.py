@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -75,7 +76,29 @@ def test_segments_and_code():
     assert text[s[1][0] : s[1][1]].startswith("der") and text[s[2][0] :].startswith("таблица")
     assert language.segments(m, None) == language.segments(m, "") == language.segments(m, "```\nthe code\n```\n| a | b |\nstep=4 loss=0.1 12:30") == []
     assert [x[2] for x in language.segments(m, DE.upper() + "! " + DE.replace("ä", "a"))] == ["de"]
-    assert abs(sum(2 ** -m.bits(w)[1] for w in ("the", "record"))) < 1
+    # brute force of method C for one word under one language
+    words = Counter(EN.split())
+    nodes: dict[bytes, Counter] = {}
+    for w, n in words.items():
+        b = f" {w} ".encode()
+        for i in range(1, len(b)):
+            for o in range(min(language.ORDER, i) + 1):
+                nodes.setdefault(b[i - o : i], Counter())[b[i]] += n
+    for w in ("record", "recorded", "zq"):
+        b, bits = f" {w} ".encode(), 0.0
+        for i in range(1, len(b)):
+            for o in range(min(language.ORDER, i), -1, -1):
+                node = nodes.get(b[i - o : i])
+                if not node:
+                    continue
+                total = sum(node.values()) + len(node)
+                if node[b[i]]:
+                    bits -= math.log2(node[b[i]] / total)
+                    break
+                bits -= math.log2(len(node) / total)
+            else:
+                bits += 8
+        assert abs(m.bits([w])[0][language.LANGUAGES.index("en")] - bits) < 1e-9
 
 
 def test_labels():
