@@ -45,8 +45,9 @@ def parse_records(files: DataFrame) -> DataFrame:
     body = files.select("file_key", F.regexp_replace("body", "^﻿", "").alias("body"))
     first = F.regexp_extract("body", r"^\s*([^\r\n]*)", 1)
     lines = body.withColumn("head", F.when(first.contains("aligned_s3_path") & ~first.startswith("{"), first)).select(
-        "file_key", "head", F.posexplode(F.split("body", r"\r\n|\n|\r")).alias("line_no", "line")
+        "file_key", "head", F.split("body", r"\r\n|\n|\r").alias("lines")
     )
+    lines = lines.select("file_key", "head", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("line_no", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> '' and (head is null or line <> head)")
     names = F.transform(F.split(F.coalesce("head", F.lit(",".join(_COLUMNS))), ","), lambda x: F.regexp_replace(x, r'[\s"]', ""))
     cells = F.regexp_extract_all("line", F.lit(_FIELD), 1)
@@ -65,6 +66,8 @@ def parse_records(files: DataFrame) -> DataFrame:
         return F.replace(F.regexp_replace(raw, r'^"|"$', ""), F.lit('""'), F.lit('"'))
 
     whole = (F.size("names") <= F.size("cells")) & F.col("line").rlike(r'^(("([^"]|"")*"|[^,"]*)(,|$))+$') & cell("det").rlike(r"^[-+]?\d+(\.\d+)?([eE][-+]?\d+)?$")
+    # without a line end after it, a bare 0 or 1 is the start of a fraction
+    whole = whole & ((F.col("line_no") < F.col("n_lines") - 1) | cell("det").contains("."))
     parsed = lines.select(
         "file_key",
         "line_no",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
 from kinloom.operators import consolidate, heavy_keys, orphans
+from kinloom.plans.lineage import cut
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -19,7 +20,8 @@ def query(f):
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.merge_runs(consolidate.parse_records(table(spark, d, "embed_shards")))
+    # the range bounds are sampled, which reads the records once more
+    return consolidate.merge_runs(cut(consolidate.parse_records(table(spark, d, "embed_shards"))))
 
 
 @query
