@@ -44,7 +44,8 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
 def _orphans(spark: SparkSession, d: str, refs: DataFrame) -> DataFrame:
     c = orphans.spans_in_force(table(spark, d, "centers"), F.concat(F.lit("centers/"), bare(F.col("src"))), "person_id", "built_at", "removed_at")
     m = orphans.spans_in_force(table(spark, d, "manifest"), F.lit("manifest"), "final_id", "written_at", "removed_at")
-    spans = c.unionByName(m)
+    # read by the runs and by the match
+    spans = cut(c.unionByName(m))
     return orphans.orphan_references(refs, spans, orphans.contiguous_runs(spans, "scope", "key"))
 
 
