@@ -1,9 +1,11 @@
-"""Connected components by smallest labels with pointer jumping.
-
-Every round gives a vertex the smallest label of its neighbours and then the
-label of its label, written to the shared folder; rounds grow with the logarithm
-of the longest chain in practice. Minima are combined before the shuffle, so a
-hub is no heavier than its share of edges.
+"""Connected components by random contraction; following parents to their end.
+
+Every round hooks a vertex to the first of its closed neighbourhood in a fresh
+hash order, relabels the edges to the hooks and drops loops and repeated edges,
+written to the shared folder. The number of vertices falls by a constant factor
+in expectation whatever the shape of the graph and the order of its ids, so
+rounds are logarithmic for long chains too. Minima are combined before the
+shuffle, so a hub is no heavier than its share of edges.
 """
 
 from __future__ import annotations
@@ -16,21 +18,34 @@ from kinloom.plans.lineage import cut
 MAX_ROUNDS = 100
 
 
+def _hooks(edges: DataFrame, seed: int) -> DataFrame:
+    """``v, hook`` of every vertex of ``edges``, which hold both directions."""
+    def order(c: str):
+        return F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("id"))
+
+    return edges.groupBy(F.col("u").alias("v")).agg(F.min(order("v")).alias("n")).select("v", F.least("n", order("v")).getField("id").alias("hook"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``id, component`` (smallest id) of every vertex with an edge to another; null ends and loops are no edges."""
+    """``id, component`` (smallest id) of every vertex with an edge to another; null ends and loops are no edges. Raises if ``MAX_ROUNDS`` do not end it."""
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     both = cut(e.union(e.select("v", "u")).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")))
-    for _ in range(MAX_ROUNDS):
-        seen = both.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
-        near = labels.join(seen, "id").select("id", "component", F.least("component", "m").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        new = cut(near.join(jump, "next").select("id", "component", F.least("next", "far").alias("next")))
-        changed = not new.where("next <> component").isEmpty()
-        labels = new.select("id", F.col("next").alias("component"))
-        if not changed:
-            break
-    return labels
+    rounds: list[DataFrame] = []
+    while not both.isEmpty():
+        if len(rounds) >= MAX_ROUNDS:
+            raise RuntimeError(f"components: edges left after {MAX_ROUNDS} rounds")
+        hooks = cut(_hooks(both, len(rounds)))
+        rounds.append(hooks)
+        hu, hv = hooks.select(F.col("v").alias("u"), F.col("hook").alias("hu")), hooks.withColumnRenamed("hook", "hv")
+        both = cut(both.join(hu, "u").join(hv, "v").where("hu <> hv").select(F.col("hu").alias("u"), F.col("hv").alias("v")).distinct())
+    if not rounds:
+        return both.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    roots = rounds.pop()
+    while rounds:
+        later = roots.select(F.col("v").alias("hook"), F.col("hook").alias("root"))
+        roots = cut(rounds.pop().join(later, "hook", "left").select("v", F.coalesce("root", "hook").alias("hook")))
+    least = roots.groupBy("hook").agg(F.min("v").alias("component"))
+    return roots.join(least, "hook").select(F.col("v").alias("id"), "component")
 
 
 def flattened(parents: DataFrame, child: str, parent: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Planted fixtures and brute force for the curation operators."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import canonical_path, known
@@ -74,6 +75,18 @@ def test_components_chain_star_and_nulls(spark):
     assert {r.child: r.parent for r in graph.flattened(f, "c", "p").collect()} == {5: 1, 4: 1, 3: 1, 8: 8, 9: 8}
 
 
+def test_components_of_a_long_unordered_chain(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 25)
+    n = 150
+    path = [0, *range(n, 0, -1)]
+    e = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")
+    got = {r.id: r.component for r in graph.components(e, "a", "b").collect()}
+    assert got == dict.fromkeys(path, 0)
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        graph.components(e, "a", "b")
+
+
 def test_merge_zone_drops_smaller_then_larger_id(spark):
     c = spark.createDataFrame([(1, 5), (2, 3), (3, 4), (4, 4), (5, 1)], "id long, img_count long")
     p = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.5), (2, 5, 0.5)], "a long, b long, sim double")
