@@ -88,6 +88,32 @@ def test_clusters_against_planted_identities(spark):
     assert {frozenset(x) for x in got.values()} == want
 
 
+def test_similar_pairs_outside_the_nearest_join_clusters(spark, monkeypatch):
+    g = np.random.default_rng(8)
+
+    def near(v):
+        v = v + g.standard_normal(DIM) * 0.004
+        return [float(x) for x in v / np.linalg.norm(v)]
+
+    e = np.eye(DIM)
+    # two groups of 13 near copies at cosine 0.6; a clique of 16 and one vector at cosine 0.6 to it; a group alone
+    rows = [(f"a{i}", near(e[0])) for i in range(13)] + [(f"b{i}", near(0.6 * e[0] + 0.8 * e[1])) for i in range(13)]
+    rows += [(f"c{i:02d}", near(e[2])) for i in range(16)] + [("d", near(0.6 * e[2] + 0.8 * e[3]))] + [(f"f{i}", near(e[4])) for i in range(3)] + [("alone", near(e[5]))]
+    # seen from d, only one of the clique is in reach of its own nearest others
+    rows += [(f"h{i:02d}", near(0.75 * e[3] + 0.6614 * e[6 + i])) for i in range(13)]
+    v = np.array([x for _, x in rows])
+    s, keys = v @ v.T >= 0.46, [k for k, _ in rows]
+    reach = np.linalg.matrix_power(s.astype(np.int64), 8) > 0
+    want = {frozenset(keys[j] for j in np.flatnonzero(x)): bool(s[np.ix_(x, x)].all()) for x in reach if x.sum() > 1}
+    assert sorted(want.values()) == [False, True, True]
+    for block in (7, 4_096):
+        monkeypatch.setattr(clusters, "JOIN_BLOCK", block)
+        got: dict = {}
+        for r in clusters.similarity_clusters(usable(spark, rows), 0.46, DIM).collect():
+            got.setdefault((r.cluster, r.closed), set()).add(r.key)
+        assert {frozenset(x): closed for (_, closed), x in got.items()} == want
+
+
 def test_closed_is_checked_in_blocks(spark):
     a, b, c = [1.0, 0.0], [0.8, 0.6], [0.28, 0.96]
     rows = [(1, i, np.rint(np.array(v) * 32767).astype(np.int16).tobytes()) for i, v in enumerate([a, b, c])] + [(2, i + 9, np.rint(np.array(v) * 32767).astype(np.int16).tobytes()) for i, v in enumerate([a, b])]
