@@ -11,8 +11,9 @@ neighbour arrays, with the shards' results merged.
   Each layer links a node to its ``LINKS`` nearest nodes of that layer, found by
   blocked matrix products (the shard is of bounded size), and back.
 * Every vector is a query against every shard: the highest layer of at most
-  ``SCAN_ROWS`` nodes is read by one matrix product per batch, the layers below
-  are walked from its best nodes by a beam search for the whole batch at once.
+  ``SCAN_ROWS`` nodes, level 1 of a shard of up to ``SHARD_ROWS`` rows, is read
+  by one matrix product per batch, the layers below are walked from its best
+  nodes by a beam search for the whole batch at once.
   In its own shard a vector's result is its list of links.
 * A pair found from one side counts for the other side too, so a miss needs two
   failed searches.
@@ -42,8 +43,9 @@ from pyspark.sql import functions as F
 from kinloom.plans.lineage import ensure_shared_folder
 
 SHARD_ROWS = 32_768
-SCAN_ROWS = 8_192
 RATIO = 4
+# half as many again as level 1 of a full shard has on average, so that it is scanned whole whatever the hashes of its keys
+SCAN_ROWS = SHARD_ROWS // RATIO * 3 // 2
 LINKS = 16
 WIDTH = 32
 BEAM = 32

@@ -72,6 +72,18 @@ def test_walk_reaches_the_base_layer():
         hnsw.SCAN_ROWS = old
 
 
+def test_level_one_of_a_full_shard_is_scanned_whole(monkeypatch):
+    monkeypatch.setattr(hnsw, "link_layer", lambda v, links, width: np.full((len(v), width), -1, np.int32))
+    n = hnsw.SHARD_ROWS + 1_000
+    v = np.zeros((n, 4), np.float32)
+    # the level-1 share of a key is a hash: several deviations over its mean
+    for more in (-400, 0, 1, 400, 1_000):
+        levels = (np.arange(n) < n // hnsw.RATIO + more).astype(np.int64)
+        levels[:2_000] = 2
+        layers = hnsw.build(v, levels)
+        assert [len(at) for at, _ in layers] == [n, n // hnsw.RATIO + more]
+
+
 def test_clusters_against_planted_identities(spark):
     rows = faces(40, seed=6, noise=0.05)
     rows += [("copy/a", rows[0][1]), ("copy/b", [2 * x for x in rows[0][1]])]
