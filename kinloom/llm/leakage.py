@@ -12,13 +12,13 @@ The test items are the small side: they are read in blocks of at most
 ``BLOCK_WORDS`` words, a proven bound, and each block is broadcast. The corpus
 is read once per block, whole, without a shuffle.
 
-A name or number is a word with a digit or one that at most ``NAME_ITEMS`` items
-hold. Fingerprints without one are the set phrases of the suite. They are not
-extended one by one; instead every corpus run of ``EXACT_WORDS`` words that
-consists of item grams alone is looked up by its first gram in the order,
-whatever its count, so that no exact passage is lost. A near passage is sought
-around the fingerprints that hold its names and numbers, which by definition
-stay.
+A hit is extended where it lies in a window of ``NEAR_WORDS`` words that holds at
+least ``NEAR_GRAMS`` grams of the item on neighbouring diagonals. Every exact or
+near passage has such a window, whatever its grams and however many items hold
+them, while a set phrase of the suite that stands alone has none. A word with a
+digit (numbers, names such as ``Joror_96``) may not be replaced in a near passage;
+any other word may, within the share of edits. That is decided by the word alone,
+so neither the other items nor repeated ones change it.
 
 Defined results: null and empty texts and items give nothing; repeated items and
 documents are each reported; an item of fewer than ``EXACT_WORDS`` words must
@@ -40,9 +40,12 @@ from pyspark.sql import functions as F
 EXACT_WORDS = 13
 NEAR_WORDS = 24
 NEAR_SHARE = 8
-NAME_ITEMS = 4
 BLOCK_WORDS = 2_000_000
 K = 3
+# What a near passage cannot do without. One of n words with at most n / NEAR_SHARE edits has at most 5 edits in all (n < 48)
+# or a window of NEAR_WORDS words with at most 4, and as an edit takes 3 grams, a window of these keeps 10 grams of the item.
+NEAR_GRAMS = 10
+NEAR_DRIFT = 5
 
 _TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
@@ -108,11 +111,9 @@ class ItemTable:
         self.size = np.array([len(words[n]) if len(plain_words(texts[i])) >= K else len(plain_words(texts[i])) for n, i in enumerate(keep)], np.int64)
         self.vocab = {w: n for n, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.words = [np.array([self.vocab[w] for w in ws], np.int64) for ws in words]
-        in_items = np.zeros(len(self.vocab), np.int64)
-        for ws in self.words:
-            in_items[np.unique(ws)] += 1
-        digits = np.array([any(c.isdigit() for c in w) for w in self.vocab], bool)
-        self.anchor = digits | (in_items <= NAME_ITEMS)
+        self.longest = max((len(ws) for ws in self.words), default=0)
+        self.anchor = np.array([any(c.isdigit() for c in w) for w in self.vocab], bool)
+        self.lists, self.held = [ws.tolist() for ws in self.words], [self.anchor[ws].tolist() for ws in self.words]
         keys = [self.grams(w) for w in self.words]
         every = np.concatenate(keys) if keys else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -151,39 +152,70 @@ class ItemTable:
         inside = ok & (self.table[at] == key)
         last = len(self.table)
         rank = np.where(inside, self.rank[at], last)
-        seeds = np.flatnonzero(chosen(rank) & inside & ~self.common[at])
-        # exact passages of template text alone
-        run = EXACT_WORDS - K + 1
-        if len(w) >= EXACT_WORDS:
-            total = np.concatenate([[0], np.cumsum(inside)])
-            rare = np.concatenate([[0], np.cumsum(inside & ~self.common[at])])
-            starts = np.flatnonzero((total[run:] - total[:-run] == run) & (rare[run:] - rare[:-run] == 0))
-            if len(starts):
-                seeds = np.unique(np.concatenate([seeds, [s + int(np.argmin(rank[s : s + run])) for s in starts]])).astype(np.int64)
+        picked = chosen(rank) & inside
+        i, item, j = self._posted(np.flatnonzero(inside), at)
+        seed = picked[i] & self._dense(i, item, j, len(w))
+        # an item too short for a window is sought by its first gram in the order
+        seed |= (self.size[item] < EXACT_WORDS) & (picked & ~self.common[at])[i]
+        i, item, j = i[seed], item[seed], j[seed]
+        return i, item, j
+
+    def _posted(self, seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, place in item) of every posting of the grams at the places ``seeds``."""
         g = at[seeds]
         n = self.post_start[g + 1] - self.post_start[g]
         which = np.repeat(np.arange(len(seeds)), n)
         post = np.repeat(self.post_start[g], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         return seeds[which], self.post_item[post], self.post_place[post]
 
-    def extend(self, w: np.ndarray, item: int, i: int, j: int) -> list[tuple[int, int, int]]:
+    def _dense(self, place: np.ndarray, item: np.ndarray, spot: np.ndarray, size: int) -> np.ndarray:
+        """Which hits lie in a window of ``NEAR_WORDS`` words with at least ``NEAR_GRAMS`` grams of the item on diagonals ``NEAR_DRIFT`` apart at most."""
+        full = np.zeros(len(place), bool)
+        some = np.flatnonzero(np.bincount(item)[item] >= NEAR_GRAMS) if len(item) else item
+        place, item, spot = place[some], item[some], spot[some]
+        keep = np.zeros(len(place), bool)
+        step = NEAR_GRAMS - 1
+        # two rows of bands, so that every range of diagonals lies within one band
+        for shift in (0, NEAR_DRIFT + 1) if len(place) > step else ():
+            band = (place - spot + self.longest + shift) // (2 * NEAR_DRIFT + 2)
+            key = (item * (size + self.longest) + band) * size + place
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            one = key[new]
+            if len(one) <= step:
+                continue
+            first = np.flatnonzero((one[step:] // size == one[:-step] // size) & (one[step:] - one[:-step] <= NEAR_WORDS - K))
+            ends = np.zeros(len(one) + 1, np.int64)
+            np.add.at(ends, first, 1)
+            np.add.at(ends, first + step + 1, -1)
+            keep[order] |= (np.cumsum(ends)[:-1] > 0)[np.cumsum(new) - 1]
+        full[some] = keep
+        return full
+
+    def extend(self, w: list[int], item: int, i: int, j: int) -> list[tuple[int, int, int]]:
         """Blocks (place, place in item, length) of the span through a hit, in order, over replaced and added words."""
-        x = self.words[item]
+        x, held = self.lists[item], self.held[item]
+        nw, nx = len(w), len(x)
 
         def forward(i: int, j: int, step: int) -> list[tuple[int, int, int]]:
             blocks = []
             while True:
                 n = 0
-                while 0 <= i < len(w) and 0 <= j < len(x) and w[i] == x[j]:
+                while 0 <= i < nw and 0 <= j < nx and w[i] == x[j]:
                     i, j, n = i + step, j + step, n + 1
                 if n:
                     blocks.append((i, j, n))
                 best = None
+                # item words that may be replaced before a name or number stops it
+                free = 0
+                while free < 3 and not (0 <= j + step * free < nx and held[j + step * free]):
+                    free += 1
                 for added, replaced in ((1, 1), (1, 0), (2, 2), (2, 1), (2, 0), (3, 3), (3, 0)):
-                    if self.anchor[[x[j + step * r] for r in range(replaced) if 0 <= j + step * r < len(x)]].any() if replaced else False:
+                    if replaced > free:
                         continue
                     a, b, m = i + step * added, j + step * replaced, 0
-                    while m < 4 and 0 <= a < len(w) and 0 <= b < len(x) and w[a] == x[b]:
+                    while m < 4 and 0 <= a < nw and 0 <= b < nx and w[a] == x[b]:
                         a, b, m = a + step, b + step, m + 1
                     if m and (best is None or min(m, 2) - 0.1 * added > best[0]):
                         best = (min(m, 2) - 0.1 * added, added, replaced)
@@ -219,10 +251,11 @@ class ItemTable:
         at, item, place = self.hits(w)
         found: set[int] = set()
         covered: dict[tuple[int, int], int] = {}
+        listed = w.tolist()
         for i, n, j in zip(at.tolist(), item.tolist(), place.tolist(), strict=True):
             if n in found or i < covered.get((n, i - j), 0):
                 continue
-            blocks = self.extend(w, n, i, j)
+            blocks = self.extend(listed, n, i, j)
             for a, b, length in blocks:
                 covered[n, a - b] = max(covered.get((n, a - b), 0), a + length)
             if self.leaks(n, blocks):

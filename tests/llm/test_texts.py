@@ -59,6 +59,21 @@ def test_leak_operator_blocks_and_repeats(spark):
     assert leakage.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_near_spans_do_not_depend_on_the_other_items():
+    plain = "we walked along the quiet river until evening came and then sat under an old willow while the children sang songs about the distant sea"
+    changed = plain.replace("quiet", "calm").replace("then", "later").replace("children", "others")
+    assert len(plain.split()) == 25
+    # alone every word stands in few items; repeated, in many
+    for copies in (1, 3, 9):
+        t = leakage.ItemTable(list(range(copies + 1)), [plain] * copies + ["short item here"])
+        assert t.leaked("Intro. " + changed + " end") == list(range(copies)), copies
+        assert t.leaked("Intro. " + " ".join(plain.split()[:12]) + " end") == []
+    # a number may not be replaced
+    numbered = " ".join([*plain.split()[:13], "5351", *plain.split()[13:]])
+    t = leakage.ItemTable([1], [numbered])
+    assert t.leaked(numbered.replace("quiet", "calm").replace("5351", "5352")) == t.leaked(numbered.replace("quiet", "calm").replace("sat", "lay").replace("5351", "")) == []
+
+
 EN = "the record writer keeps fewer images than the log suggests and the review board shows a clear gap between the scores of the two machines"
 DE = "der datensatzschreiber behält weniger bilder als das protokoll vermuten lässt und die prüferin zeigt einen klaren abstand zwischen den paaren"
 RU = "таблица меток показывает ясный разрыв между своими и чужими парами начиная с этой версии"
