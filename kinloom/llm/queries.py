@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
 from kinloom.llm import clusters, contraction, hnsw, language, leakage, packing, survivor
+from kinloom.plans.lineage import cut
 from kinloom.sources.tables import table
 
 Q: dict = {}
@@ -151,7 +152,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return members.join(size, "cluster").select("cluster_path", F.col("key").alias("rel_path"))
 
 
+def _hosted_faces(spark: SparkSession, d: str) -> DataFrame:
+    hosts = table(spark, d, "contaminated_cfp_embeddings").select(F.col("rel_path").alias("key"), "assigned_id").distinct()
+    return _face_clusters(spark, d).join(hosts, "key")
+
+
 @query
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    hosts = table(spark, d, "contaminated_cfp_embeddings").groupBy(F.col("rel_path").alias("key")).agg(F.min("assigned_id").alias("assigned_id"))
-    return clusters.described(_face_clusters(spark, d).join(hosts, "key"), "assigned_id")
+    return clusters.described(cut(_hosted_faces(spark, d)), "assigned_id")
+
+
+@query
+def p2_cluster_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.host_counts(cut(_hosted_faces(spark, d)), "assigned_id")

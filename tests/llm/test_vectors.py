@@ -126,6 +126,17 @@ def test_similar_pairs_outside_the_nearest_join_clusters(spark, monkeypatch):
         assert {frozenset(x): closed for (_, closed), x in got.items()} == want
 
 
+def test_every_host_of_a_cluster_is_given(spark):
+    # nine hosts; k0 is filed under two of them
+    rows = [(1, f"k{i}", f"h{i % 8}", 1.0 / (i + 1), True) for i in range(20)] + [(1, "k0", "h9", 1.0, True), (2, "z1", "h1", 1.0, False), (2, "z2", "h1", 0.5, False)]
+    members = spark.createDataFrame(rows, "cluster long, key string, host string, flow double, closed boolean")
+    got = {(r.cluster_path, r.host): r.n_images for r in clusters.host_counts(members, "host").collect()}
+    assert got == {**{("k0", f"h{i}"): 3 if i < 4 else 2 for i in range(8)}, ("k0", "h9"): 1, ("z1", "h1"): 2}
+    about = {r.cluster_path: r for r in clusters.described(members, "host").collect()}
+    assert (about["k0"].n_images, about["k0"].n_hosts, list(about["k0"].typical)) == (20, 9, ["k0", "k1", "k2"])
+    assert list(about["k0"].main_hosts) == ["h0", "h1", "h2", "h3", "h4"]
+
+
 def test_closed_is_checked_in_blocks(spark):
     a, b, c = [1.0, 0.0], [0.8, 0.6], [0.28, 0.96]
     rows = [(1, i, np.rint(np.array(v) * 32767).astype(np.int16).tobytes()) for i, v in enumerate([a, b, c])] + [(2, i + 9, np.rint(np.array(v) * 32767).astype(np.int16).tobytes()) for i, v in enumerate([a, b])]
