@@ -49,13 +49,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def flattened(parents: DataFrame, child: str, parent: str) -> DataFrame:
-    """Follow parents to the last one; a cycle ends at its smallest member."""
-    p = parents.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
-    p = cut(p)
+    """``child, parent`` with the last parent of every child; of a cycle, and of what leads to it, the smallest member. Several parents: the smallest counts.
+
+    Steps double every round, so the rounds are logarithmic in the longest chain.
+    ``low`` is the least vertex on the steps taken; where it is the same at the end
+    of the steps and at the end of as many more, all the steps after are on the
+    cycle (or at the last parent) and have passed its least member.
+    """
+    p = parents.select(F.col(child).alias("child"), F.col(parent).alias("jump")).dropna().groupBy("child").agg(F.min("jump").alias("jump"))
+    ends = p.select(F.col("jump").alias("child")).distinct().join(p.select("child"), "child", "left_anti")
+    state = cut(p.union(ends.select("child", "child")).withColumn("low", F.col("jump")))
     for _ in range(MAX_ROUNDS):
-        up = p.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        new = cut(p.join(up, "parent", "left").select("child", "parent", F.coalesce("grand", "parent").alias("grand")))
-        if new.where("grand <> parent and grand <> child").isEmpty():
-            return new.select("child", F.when(F.col("grand") == F.col("child"), F.least("child", "parent")).otherwise(F.col("grand")).alias("parent"))
-        p = new.select("child", F.when(F.col("grand") == F.col("child"), F.least("child", "parent")).otherwise(F.col("grand")).alias("parent"))
-    return p
+        ahead = state.select(F.col("child").alias("jump"), F.col("jump").alias("far"), F.col("low").alias("far_low"))
+        state = cut(state.join(ahead, "jump").select("child", F.col("far").alias("jump"), F.least("low", "far_low").alias("low"), F.col("far_low").alias("last")))
+        ahead = state.select(F.col("child").alias("jump"), F.col("last").alias("far_last"))
+        if state.join(ahead, "jump").where("last <> far_last").isEmpty():
+            return state.join(ends, "child", "left_anti").select("child", F.col("last").alias("parent"))
+        state = state.drop("last")
+    raise RuntimeError(f"flattened: no end after {MAX_ROUNDS} rounds")
