@@ -3,330 +3,335 @@
 Method: one hierarchical navigable small-world graph per shard, stored as flat
 neighbour arrays, with the shards' results merged.
 
-* Rows are brought to one vector per key, stored as 16-bit integers scaled to
-  the row's largest number (cosine does not see the scale; the error of a cosine
-  stays near 1e-6), and spread over shards of at most about ``SHARD_ROWS`` rows
-  by a hash of the key.
-* In a shard, node levels are geometric (a quarter of a layer reaches the next).
-  Each layer links a node to its ``LINKS`` nearest nodes of that layer, found by
-  blocked matrix products (the shard is of bounded size), and back.
-* Every vector is a query against every shard: the highest layer of at most
-  ``SCAN_ROWS`` nodes, level 1 of a shard of up to ``SHARD_ROWS`` rows, is read
-  by one matrix product per batch, the layers below are walked from its best
-  nodes by a beam search for the whole batch at once.
-  In its own shard a vector's result is its list of links.
-* A pair found from one side counts for the other side too, so a miss needs two
-  failed searches.
-
-The index is a table in the shared folder and holds every row; a worker reads one
-shard at a time, so neither the driver nor a broadcast ever holds it.
+* Rows are brought to one vector per key, as 8-bit integers scaled to the row's
+  largest number (cosine does not see the scale; the error of a cosine is about
+  0.0005), and filed in the ``filings`` shards whose centres are nearest. Centres
+  come from a bounded sample of ``SAMPLE`` rows; a weight per centre, fitted on
+  the sample, keeps the shards of about equal size, and a centre that draws more
+  than twice its share is split by a hash.
+* The graph of a shard has an upper layer of hubs, in ``FAMILIES`` families of one
+  hub per ``CELL`` rows, and a base layer of all rows. A vector descends from the
+  nearest hub of every family to the base nodes below that hub; what it finds
+  there are its links, nearest first, in one flat array.
+* Every vector is then a query: a walk over the links from the nodes where it
+  entered, which finds the neighbours that no hub had in common with it.
+* A pair found from one side, in any shard, counts for both sides.
+
+Why many entries: the vectors of different identities point in independent
+directions, so a walk from one entry has no slope to follow (from few entry
+points it found 42 to 82 % of the pairs). The chance that two similar vectors
+share a hub or a shard depends on their angle and falls with a small power of the
+number of hubs or shards, so the filings grow with the cube root of the number of
+shards and no vector ever meets all the others. Vectors less similar than
+``FLOOR`` are no neighbours: at that angle all unrelated vectors lie.
 
 Defined results: vectors that are null, of another length, all zero, or hold a
 null, NaN or infinity take no part; rows with one key are one vector (the
-earliest by order column, then the smallest code); ties go to the smaller key;
-a collection of one vector has no neighbours.
+earliest by order column, then the smallest hash); ties go to the smaller key; a
+collection of one vector has no neighbours. Of more than ``COPIES`` keys with
+the very same vector only those with the smallest keys are filed, because they
+are the nearest of all the others; the rest get them as their neighbours.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.plans.lineage import ensure_shared_folder
+from kinloom.plans.lineage import cut
 
 SHARD_ROWS = 32_768
-RATIO = 4
-# half as many again as level 1 of a full shard has on average, so that it is scanned whole whatever the hashes of its keys
-SCAN_ROWS = SHARD_ROWS // RATIO * 3 // 2
+TASKS = 12
+TASK_ROWS = 1_024
+SAMPLE = 16_384
+MOST_CENTRES = 1_024
+FAMILIES = 16
+CELL = 256
 LINKS = 16
-WIDTH = 32
-BEAM = 32
-HOPS = 3
-EXPAND = 4
-BATCH = 1_024
-FILE_BATCHES = 8
-
-
-DOTS = 2_048
+HOPS = 2
+EXPAND = 8
+FLOOR = 0.25
+COPIES = 6
+BATCH = 2_048
+SEED = 20
 
 
 # ---- numpy kernels -------------------------------------------------------------------------------------------------
 
 
 def top_k(sims: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest values of each row, largest first. Exact: a row's k best lie in its k best buckets."""
-    rows, n = sims.shape
-    k = min(k, n)
-    size = max(1, int(np.sqrt(n / max(k, 1))))
-    if size > 1 and n // size > k:
-        full = n // size * size
-        peaks = sims[:, :full].reshape(rows, -1, size).max(axis=2)
-        best = np.argpartition(peaks, peaks.shape[1] - k, axis=1)[:, -k:]
-        cols = (best[:, :, None] * size + np.arange(size)).reshape(rows, -1)
-        cols = np.concatenate([cols, np.broadcast_to(np.arange(full, n), (rows, n - full))], axis=1)
-    else:
-        cols = np.broadcast_to(np.arange(n), (rows, n))
-    found = np.take_along_axis(sims, cols, 1)
-    pick = np.argpartition(found, found.shape[1] - k, axis=1)[:, -k:]
-    pick = np.take_along_axis(pick, np.argsort(-np.take_along_axis(found, pick, 1), axis=1, kind="stable"), 1)
-    return np.take_along_axis(cols, pick, 1)
-
-
-def dots(q: np.ndarray, r: np.ndarray, v: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Products of the rows ``q[r]`` and ``v[e]``, a cache-sized slice at a time."""
-    out = np.empty(len(r), np.float32)
-    for lo in range(0, len(r), DOTS):
-        np.einsum("ij,ij->i", q[r[lo : lo + DOTS]], v[e[lo : lo + DOTS]], out=out[lo : lo + DOTS])
-    return out
-
-
-def decode_bytes(codes: bytes, dim: int) -> np.ndarray:
-    """Unit vectors of 16-bit codes."""
-    v = np.frombuffer(codes, np.int16).reshape(-1, dim).astype(np.float32)
+    """Columns of the k largest values of each row, largest first."""
+    k = min(k, sims.shape[1])
+    pick = np.argpartition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k :]
+    return np.take_along_axis(pick, np.argsort(-np.take_along_axis(sims, pick, 1), axis=1, kind="stable"), 1)
+
+
+def codes_of(m: np.ndarray, kind: type = np.int8) -> np.ndarray:
+    """Integer codes of rows that are not all zero."""
+    return np.rint(m * (np.float32(np.iinfo(kind).max) / np.abs(m).max(axis=1))[:, None]).astype(kind)
+
+
+def decode(codes: list[bytes], dim: int, kind: type = np.int8) -> np.ndarray:
+    """Unit vectors of integer codes."""
+    v = np.frombuffer(b"".join(codes), kind).reshape(-1, dim).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     return v
 
 
-def decode(codes: list[bytes], dim: int) -> np.ndarray:
-    return decode_bytes(b"".join(codes), dim)
-
-
-def link_layer(v: np.ndarray, links: int, width: int, block: int = 256) -> np.ndarray:
-    """Flat neighbour array of one layer: up to ``width`` positions per node, nearest first, -1 where none."""
-    n = len(v)
-    k = min(links, n - 1)
-    flat = np.full((n, width), -1, np.int32)
-    if k < 1:
-        return flat
-    near, sim = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
-    for lo in range(0, n, block):
-        s = v[lo : lo + block] @ v.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
-        near[lo : lo + block] = c = top_k(s, k)
-        sim[lo : lo + block] = np.take_along_axis(s, c, 1)
-    # own links first, then links back, both nearest first
-    a, b, s = np.repeat(np.arange(n), k), near.ravel(), sim.ravel()
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    back, s = np.repeat([0, 1], len(a)), np.concatenate([s, s])
-    order = np.lexsort((-s, back, src))
-    src, dst = src[order], dst[order]
-    first = np.ones(len(src), bool)
-    pair = src.astype(np.int64) * n + dst
-    _, at = np.unique(pair, return_index=True)
-    first[:] = False
-    first[at] = True
-    src, dst = src[first], dst[first]
-    rank = np.arange(len(src)) - np.searchsorted(src, src)
-    keep = rank < width
-    flat[src[keep], rank[keep]] = dst[keep]
-    return flat
-
-
-def build(v: np.ndarray, levels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Layers from the base up: (positions of the layer's nodes, flat neighbour array in places of that layer)."""
-    layers = []
-    for level in range(int(levels.max(initial=0)) + 1):
-        at = np.flatnonzero(levels >= level).astype(np.int32)
-        scanned = level > 0 and len(at) <= SCAN_ROWS
-        layers.append((at, np.empty((0, 0), np.int32) if scanned else link_layer(v[at], LINKS, WIDTH)))
-        if scanned or len(at) <= SCAN_ROWS // 64:
-            break
-    return layers
-
-
-def walk(q: np.ndarray, v: np.ndarray, flat: np.ndarray, start: np.ndarray, beam: int = BEAM, hops: int = HOPS, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of a batch in one layer from ``start`` (batch x starts; -1: none)."""
-    m, n = len(q), len(v)
-    seen = np.zeros((m, n + 1), bool)
-    seen[:, n] = True
-    ids = np.where(start < 0, n, start)
-    np.put_along_axis(seen, ids, True, 1)
-    sims = np.full(ids.shape, -3, np.float32)
-    r, c = np.nonzero(ids < n)
-    sims[r, c] = dots(q, r, v, ids[r, c])
-    done = ids == n
-    beam = max(beam, ids.shape[1])
-    for _ in range(hops):
-        front = top_k(np.where(done, -9, sims), expand)
-        np.put_along_axis(done, front, True, 1)
-        nodes = np.take_along_axis(ids, front, 1)
-        near = np.where(nodes[:, :, None] < n, flat[np.minimum(nodes, n - 1)], -1).reshape(m, -1)
-        near = np.where(near < 0, n, near)
-        r, c = np.nonzero(~np.take_along_axis(seen, near, 1))
-        # one node may stand several times in the front's lists
-        _, once = np.unique(r.astype(np.int64) * (n + 1) + near[r, c], return_index=True)
-        r, c = r[once], c[once]
-        if not len(r):
-            break
-        e = near[r, c]
-        seen[r, e] = True
-        new = np.full(near.shape, -3, np.float32)
-        new[r, c] = dots(q, r, v, e)
-        ids, sims, done = np.concatenate([ids, near], 1), np.concatenate([sims, new], 1), np.concatenate([done, new < -2], 1)
-        keep = top_k(sims, beam)
-        ids, sims, done = (np.take_along_axis(x, keep, 1) for x in (ids, sims, done))
-    return ids, sims
-
-
-def search(q: np.ndarray, v: np.ndarray, layers: list, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Best nodes (positions in ``v``) of a batch, best first, and their cosines; cosine -3: no node."""
-    at, flat = layers[-1]
-    layer = v if len(at) == len(v) else v[at]
-    s = q @ layer.T
-    found = top_k(s, beam)
-    if len(layers) == 1:
-        return found, np.take_along_axis(s, found, 1)
-    start = at[found]
-    for at, flat in reversed(layers[:-1]):
-        place = np.full(len(v) + 1, -1, np.int32)
-        place[at] = np.arange(len(at))
-        here = v if len(at) == len(v) else v[at]
-        ids, sims = walk(q, here, flat, place[start], beam)
-        start = np.where(ids < len(at), at[np.minimum(ids, len(at) - 1)], -1)
-    return start, sims
+def best(r: np.ndarray, c: np.ndarray, s: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best ``c`` of each ``r``, each once, in order of ``r``, falling ``s`` and ``c``."""
+    _, once = np.unique(r.astype(np.int64) * n + c, return_index=True)
+    r, c, s = r[once], c[once], s[once]
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep], s[keep]
+
+
+class Graph:
+    """Small-world graph of one shard over its coded rows; ``flat`` holds up to ``LINKS`` positions a row, nearest first, -1 where none."""
+
+    def __init__(self, codes: np.ndarray, floor: float = FLOOR, families: int = FAMILIES, cell: int = CELL):
+        self.codes, self.floor, self.cell = codes, floor, cell
+        self.n, dim = codes.shape
+        self.scale = np.ones(self.n, np.float32)
+        self.scale = np.concatenate([1 / np.linalg.norm(codes[i : i + BATCH].astype(np.float32), axis=1) for i in range(0, self.n, BATCH)] or [self.scale])
+        rng = np.random.default_rng(SEED)
+        self.per = max(1, self.n // cell)
+        self.families = families if self.per > 1 else 1
+        self.hubs = np.concatenate([rng.choice(self.n, self.per, replace=False) for _ in range(self.families)]) if self.n else np.empty(0, np.int64)
+        # one more direction a family orders the rows below a hub that has too many
+        self.upper = np.concatenate([self.rows(self.hubs), rng.standard_normal((self.families, dim)).astype(np.float32)])
+        self.below: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.flat = np.full((self.n, LINKS), -1, np.int32)
+        if self.n:
+            own = [self.entries(self.rows(slice(i, i + BATCH))) for i in range(0, self.n, BATCH)]
+            hub, spot = (np.concatenate(x) for x in zip(*own, strict=True))
+            for f in range(self.families):
+                order = np.lexsort((spot[:, f], hub[:, f])).astype(np.int32)
+                self.below.append((order, np.searchsorted(hub[order, f], np.arange(self.per + 1)), spot[order, f]))
+            r, c, s = self.descend(None, hub, spot, LINKS)
+            self._link(r, c)
+            # what a walk from a row's links finds are better links
+            r, c, s = self.walk(None, r, c, s, LINKS, 1)
+            self._link(r, c)
+            self.own = (r, c, s)
+
+    def _link(self, r: np.ndarray, c: np.ndarray) -> None:
+        self.flat[r, np.arange(len(r)) - np.searchsorted(r, r)] = c
+
+    def rows(self, at) -> np.ndarray:
+        return self.codes[at].astype(np.float32) * self.scale[at][:, None]
+
+    def entries(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query and family the nearest hub, and the place in the family's order."""
+        s = q @ self.upper.T
+        return s[:, : len(self.hubs)].reshape(len(q), self.families, self.per).argmax(2).astype(np.int32), s[:, len(self.hubs) :]
+
+    def descend(self, q: np.ndarray | None, hub: np.ndarray, spot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best base nodes below the hubs of each query, as (query, node, cosine); no ``q``: the rows themselves, without the loops."""
+        found, size = [], 0
+        for f, (order, start, spots) in enumerate(self.below):
+            asked = np.argsort(hub[:, f], kind="stable")
+            first = np.searchsorted(hub[asked, f], np.arange(self.per + 1))
+            for h in range(self.per):
+                lo, hi = start[h], start[h + 1]
+                pieces = max(1, -(-(hi - lo) // (4 * self.cell)))
+                edges = lo + (hi - lo) * np.arange(pieces + 1) // pieces
+                a = asked[first[h] : first[h + 1]]
+                which = np.searchsorted(spots[edges[1:-1]], spot[a, f], side="right") if pieces > 1 else None
+                for p in range(pieces):
+                    mine, b = a if which is None else a[which == p], order[edges[p] : edges[p + 1]]
+                    for i in range(0, len(mine), BATCH):
+                        x = mine[i : i + BATCH]
+                        s = (self.rows(x) if q is None else q[x]) @ self.rows(b).T
+                        r, c = np.nonzero(s >= self.floor)
+                        if len(r) > 2 * k * len(x):
+                            c = top_k(s, k + 1)
+                            r, c = np.repeat(np.arange(len(x)), c.shape[1]), c.ravel()
+                        s = s[r, c]
+                        r, c = x[r], b[c]
+                        keep = (s >= self.floor) & (r != c) if q is None else s >= self.floor
+                        found.append((r[keep], c[keep], s[keep]))
+                        size += len(r)
+            if size > 4_000_000:
+                found = [best(*(np.concatenate(x) for x in zip(*found, strict=True)), self.n, k)]
+                size = len(found[0][0])
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
+        return best(*(np.concatenate(x) for x in zip(*found, strict=True)), self.n, k)
+
+    def walk(self, q: np.ndarray | None, r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int, hops: int = HOPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Follow links from the nodes (query, node, cosine), sorted by query and best first, and keep the k best."""
+        front_r, front_c = r, c
+        for _ in range(hops):
+            near = np.arange(len(front_r)) - np.searchsorted(front_r, front_r) < EXPAND
+            a, e = np.repeat(front_r[near], LINKS), self.flat[front_c[near]].ravel()
+            ok = (e >= 0) & (a != e) if q is None else e >= 0
+            key = np.setdiff1d(a[ok].astype(np.int64) * self.n + e[ok], r.astype(np.int64) * self.n + c)
+            a, e = key // self.n, key % self.n
+            sims = np.empty(len(key), np.float32)
+            for i in range(0, len(key), BATCH):
+                x, y = a[i : i + BATCH], e[i : i + BATCH]
+                np.einsum("ij,ij->i", self.rows(x) if q is None else q[x], self.rows(y), out=sims[i : i + BATCH])
+            up = sims >= self.floor
+            front_r, front_c = a[up], e[up]
+            if not len(front_r):
+                break
+            r, c, s = best(np.concatenate([r, front_r]), np.concatenate([c, front_c]), np.concatenate([s, sims[up]]), self.n, max(k, LINKS))
+        return best(r, c, s, self.n, k)
+
+    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best nodes of each query vector, as (query, node, cosine): descend from the hubs, then walk."""
+        if not self.n or not len(q):
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
+        return self.walk(q, *self.descend(q, *self.entries(q), LINKS), k)
+
+    def search_own(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The search of every row of the shard, which starts from its own links."""
+        return self.walk(None, *self.own, k) if self.n else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32))
+
+
+# ---- routing to shards ---------------------------------------------------------------------------------------------
+
+
+def filings(shards: int) -> int:
+    """In how many shards a vector is filed."""
+    return min(shards, max(1, round(1.45 * shards ** (1 / 3))))
+
+
+def shard_number(rows: int, shard_rows: int = SHARD_ROWS) -> int:
+    """The least number of shards that keeps them near ``shard_rows``; more for tasks, as long as these have ``TASK_ROWS``. At most ``MOST_CENTRES``."""
+    s = max(1, min(TASKS, rows // TASK_ROWS))
+    while s < MOST_CENTRES and filings(s) * rows > s * shard_rows:
+        s += 1
+    return s
+
+
+class Router:
+    """Centres of the shards (spherical k-means of a sample) with balancing weights; of bounded size, made for sending to workers."""
+
+    def __init__(self, sample: np.ndarray, shards: int):
+        self.keep = filings(shards)
+        rng = np.random.default_rng(SEED)
+        self.centres = sample[rng.choice(len(sample), shards, replace=len(sample) < shards)] if shards > 1 else sample[:0]
+        self.weight, self.split = np.zeros(shards, np.float32), np.ones(shards, np.int64)
+        if shards > 1:
+            for _ in range(8):
+                label = (sample @ self.centres.T).argmax(1)
+                order = np.argsort(label, kind="stable")
+                groups, first = np.unique(label[order], return_index=True)
+                total = np.zeros_like(self.centres)
+                total[groups] = np.add.reduceat(sample[order], first, axis=0)
+                norm = np.linalg.norm(total, axis=1, keepdims=True)
+                self.centres = np.where(norm > 0, total / np.maximum(norm, 1e-9), self.centres).astype(np.float32)
+            s = sample @ self.centres.T
+            for step in range(31):
+                c = np.argpartition(s - self.weight, shards - self.keep, axis=1)[:, shards - self.keep :]
+                share = np.bincount(c.ravel(), minlength=shards) * shards / c.size
+                if step < 30:
+                    self.weight += (0.02 * 0.93**step * np.log(np.maximum(share, 0.1))).astype(np.float32)
+            self.split = np.where(share > 2, np.ceil(share), 1).astype(np.int64)
+        self.offset = np.cumsum(self.split) - self.split
+        self.shards = int(self.split.sum())
+
+    def route(self, v: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Per vector the numbers of its shards; ``h``, a hash of the vector, spreads those of a split centre."""
+        if len(self.split) == 1:
+            return np.zeros((len(v), 1), np.int64)
+        c = top_k(v @ self.centres.T - self.weight, self.keep)
+        return self.offset[c] + (h.astype(np.int64) & (2**62 - 1))[:, None] % self.split[c]
 
 
 # ---- Spark ---------------------------------------------------------------------------------------------------------
 
+_CODED = pa.schema([("key", pa.string()), ("ord", pa.int64()), ("h", pa.int64()), ("code", pa.binary())])
+
 
-def coded_vectors(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512) -> DataFrame:
-    """``key, ord, code`` of the usable rows. Rows of one key in one batch are already brought to the first by ``ord, code``."""
-    slim = df.where((F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(order.cast("long"), F.lit(2**63 - 1)).alias("ord"), F.col(vector).alias("v"))
+def coded_vectors(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512, kind: type = np.int8) -> DataFrame:
+    """``key, ord, h, code`` of the usable rows."""
+    slim = df.where((F.size(vector) == dim) & F.col(key).isNotNull())
+    slim = slim.select(F.col(key).alias("key"), F.coalesce(order.cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(vector).alias("h"), F.col(vector).alias("v"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column("v").flatten()
-            m = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            if not len(m):
+                continue
             with np.errstate(all="ignore"):
-                peak = np.abs(m).max(axis=1) if len(m) else np.empty(0, np.float32)
-                ok = np.isfinite(m).all(axis=1) & (peak > 1e-30) if len(m) else np.empty(0, bool)
-                q = np.rint(m[ok] * (32767.0 / peak[ok])[:, None]).astype(np.int16)
-            t = pd.DataFrame({"key": b.column("key").to_pandas()[ok], "ord": b.column("ord").to_pandas()[ok], "code": [x.tobytes() for x in q]})
-            yield pa.RecordBatch.from_pandas(first_rows(t), schema=_CODED, preserve_index=False)
-
-    return slim.mapInArrow(coded, "key string, ord long, code binary")
-
+                ok = np.isfinite(m).all(axis=1) & (np.abs(m).max(axis=1) > 1e-30)
+            codes = codes_of(m[ok], kind)
+            code = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(np.arange(len(codes) + 1, dtype=np.int32) * (dim * codes.itemsize)), pa.py_buffer(codes.tobytes())])
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column("key").filter(keep).cast(pa.string()), b.column("ord").filter(keep), b.column("h").filter(keep), code], schema=_CODED)
 
-_CODED = pa.schema([("key", pa.string()), ("ord", pa.int64()), ("code", pa.binary())])
+    return slim.mapInArrow(coded, "key string, ord long, h long, code binary")
 
 
-def first_rows(t: pd.DataFrame) -> pd.DataFrame:
-    """One row per key, the first by ``ord, code``, sorted by key."""
-    return t.sort_values(["key", "ord", "code"], ignore_index=True).drop_duplicates("key", ignore_index=True)
-
-
-def usable_vectors(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512) -> DataFrame:
-    """``key, code``: one coded vector per key."""
-    coded = coded_vectors(df, key, vector, order, dim)
-    return coded.groupBy("key").agg(F.min(F.struct("ord", "code")).getField("code").alias("code"))
+def usable_vectors(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512, kind: type = np.int8) -> DataFrame:
+    """``key, h, code``: one coded vector per key; repeats are reduced before the shuffle."""
+    first = coded_vectors(df, key, vector, order, dim, kind).groupBy("key").agg(F.min(F.struct("ord", "h", "code")).alias("f"))
+    return first.select("key", "f.h", "f.code")
 
 
-_INDEX = "shard int, part int, keys array<string>, codes binary, nodes array<binary>, flat array<binary>"
+def fitted_router(vectors: DataFrame, rows: int, dim: int, shard_rows: int) -> Router:
+    """The router for ``key, code`` rows, of which there are ``rows`` at most; its sample of about ``SAMPLE`` rows is drawn by a hash of the key."""
+    shards = shard_number(rows, shard_rows)
+    if shards == 1:
+        return Router(np.empty((0, dim), np.float32), 1)
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < max(1, int((1 << 20) * SAMPLE / rows))
+    sample = [bytes(r[0]) for r in vectors.where(share).select("code").collect()]
+    return Router(decode(sorted(sample), dim), shards) if sample else Router(np.empty((0, dim), np.float32), 1)
 
 
-def _graph(dim: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = first_rows(pdf)
-        v = decode(pdf["code"].tolist(), dim)
-        h = pd.util.hash_array(pdf["key"].to_numpy(object)).astype(np.uint64)
-        u = (h >> np.uint64(11)).astype(np.float64) / 2.0**53
-        levels = np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(RATIO)).astype(np.int64)
-        layers = build(v, levels)
-        parts = range(0, len(pdf), BATCH)
-        first = [i == 0 for i in parts]
-        return pd.DataFrame(
-            {
-                "shard": int(key[0]),
-                "part": [i // BATCH for i in parts],
-                "keys": [pdf["key"].iloc[i : i + BATCH].tolist() for i in parts],
-                "codes": [b"".join(pdf["code"].iloc[i : i + BATCH]) for i in parts],
-                "nodes": [[a.tobytes() for a, _ in layers] if x else None for x in first],
-                "flat": [[f.tobytes() for _, f in layers] if x else None for x in first],
-            }
-        )
+def similar_pairs(vectors: DataFrame, router: Router, k: int, min_sim: float, dim: int = 512, floor: float | None = None) -> DataFrame:
+    """``key, other, sim`` with key < other: the pairs at or above ``min_sim`` that are among the k best of one of the two in a shard.
 
-    return run
-
-
-class Index:
-    """Graphs of all shards, written as a table in the shared folder, from where every worker reads one shard at a time.
-
-    ``vectors``: ``key, code`` and, where keys may repeat, ``ord``. ``rows`` is an
-    upper bound of their number; by default they are counted.
+    ``vectors``: ``key, h, code``, each key once.
     """
+    shipped = vectors.sparkSession.sparkContext.broadcast(router)
+    floor = min(FLOOR, min_sim) if floor is None else floor
 
-    def __init__(self, vectors: DataFrame, dim: int = 512, shard_rows: int = SHARD_ROWS, rows: int | None = None):
-        self.spark, self.dim = vectors.sparkSession, dim
-        self.shards = max(1, -(-(vectors.count() if rows is None else rows) // shard_rows))
-        self.path = f"{ensure_shared_folder(self.spark)}/kinloom-index-{uuid.uuid4().hex}"
-        if "ord" not in vectors.columns:
-            vectors = vectors.withColumn("ord", F.lit(0).cast("long"))
-        slim = vectors.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "ord", "code")
-        # small files, so that the queries are read in many tasks
-        slim.groupBy("shard").applyInPandas(_graph(dim), _INDEX).write.option("maxRecordsPerFile", FILE_BATCHES).parquet(self.path)
-
-    def neighbours(self, k: int, min_sim: float) -> DataFrame:
-        """``key, other, sim`` for the up to k most similar others of every key in every shard."""
-        queries = self.spark.read.schema(_INDEX).parquet(self.path).select("shard", "keys", "codes")
-        return queries.mapInPandas(_searcher(self.path, self.shards, self.dim, k, min_sim), "key string, other string, sim float")
-
-
-def _load(path: str, shard: int, dim: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Keys, unit vectors and layers of one shard."""
-    fs, place = pafs.FileSystem.from_uri(path)
-    t = pads.dataset(place, filesystem=fs, format="parquet").to_table(filter=pads.field("shard") == shard).sort_by("part").to_pydict()
-    keys = np.array([k for ks in t["keys"] for k in ks], object)
-    if not len(keys):
-        return keys, np.empty((0, dim), np.float32), []
-    v = decode_bytes(b"".join(t.pop("codes")), dim)
-    layers = [(np.frombuffer(a, np.int32), np.frombuffer(f, np.int32).reshape(-1, WIDTH)) for a, f in zip(t["nodes"][0], t["flat"][0], strict=True)]
-    return keys, v, layers
-
-
-def _searcher(path: str, shards: int, dim: int, k: int, min_sim: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # chunks of at most BATCH coded vectors; a task holds those of its input split
-        chunks = [(int(s), np.asarray(n, object), c) for pdf in batches for s, n, c in zip(pdf["shard"], pdf["keys"], pdf["codes"], strict=True)]
-        for shard in range(shards if chunks else 0):
-            keys, v, layers = _load(path, shard, dim)
-            if not len(keys):
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            for home, names, codes in chunks:
-                q = decode_bytes(codes, dim)
-                if home != shard:
-                    ids, s = search(q, v, layers)
-                elif len(keys) > 1:
-                    ids = layers[0][1][np.searchsorted(keys, names)]
-                    r, c = np.nonzero(ids >= 0)
-                    s = np.full(ids.shape, -3, np.float32)
-                    s[r, c] = dots(q, r, v, ids[r, c])
-                else:
-                    continue
-                yield _best(names, keys, ids, s, k, min_sim)
-
-    return run
-
-
-def _best(names: np.ndarray, keys: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, min_sim: float) -> pd.DataFrame:
-    order = top_k(sims, k)
-    s, i = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
-    r, c = np.nonzero(s >= min_sim)
-    return pd.DataFrame({"key": names[r], "other": keys[i[r, c]], "sim": np.minimum(s[r, c], 1.0)})
+            to = shipped.value.route(decode(b.column("code").to_pylist(), dim), b.column("h").to_numpy())
+            at = pa.array(np.repeat(np.arange(b.num_rows), to.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), b.column("key").take(at), b.column("code").take(at)], names=["shard", "key", "code"])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one partition is one shard
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        keys = np.concatenate([b.column("key").to_pandas().to_numpy(object) for b in held])
+        codes = np.concatenate([np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(-1, dim) for b in held])
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        graph = Graph(codes[order], floor)
+        r, c, s = graph.search_own(k)
+        keep = s >= min_sim
+        a, b = np.minimum(r, c)[keep].astype(np.int64), np.maximum(r, c)[keep].astype(np.int64)
+        _, once = np.unique(a * graph.n + b, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a[once]], pa.string()), pa.array(keys[b[once]], pa.string()), pa.array(np.minimum(s[keep][once], 1.0), pa.float32())], names=["key", "other", "sim"])
+
+    by_shard = vectors.select("key", "h", "code").mapInArrow(filed, "shard int, key string, code binary").repartitionById(router.shards, "shard")
+    return by_shard.select("key", "code").mapInArrow(searched, "key string, other string, sim float")
 
 
 def both_ways(found: DataFrame) -> DataFrame:
-    """Each found pair for both of its keys, once."""
-    # one pass: a union would run the searches twice
+    """Each found pair for both of its keys, once, partitioned by the key and a salt of the other."""
     ways = F.array(F.struct("key", "other", "sim"), F.struct(F.col("other").alias("key"), F.col("key").alias("other"), "sim"))
-    return found.select(F.explode(ways).alias("p")).groupBy("p.key", "p.other").agg(F.max("p.sim").alias("sim"))
+    pairs = found.select(F.explode(ways).alias("p")).select("p.key", "p.other", "p.sim").withColumn("salt", F.pmod(F.hash("other"), F.lit(16)))
+    # the grouping and the first ranking of `most_similar` reuse this partitioning
+    return pairs.repartition("key", "salt").groupBy("key", "salt", "other").agg(F.max("sim").alias("sim"))
 
 
 def most_similar(found: DataFrame, k: int) -> DataFrame:
@@ -335,8 +340,35 @@ def most_similar(found: DataFrame, k: int) -> DataFrame:
     Ranked in two steps, first within a salt, so a vector that very many others
     found is not ranked in one task.
     """
-    pairs = both_ways(found)
     order = [F.col("sim").desc(), F.col("other")]
-    salted = pairs.withColumn("salt", F.pmod(F.hash("other"), F.lit(16)))
-    salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= k)
+    salted = both_ways(found).withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= k)
     return salted.drop("salt").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def copies(df: DataFrame, key: str, vector: str, order: Column, dim: int = 512, most: int = COPIES) -> tuple[DataFrame, DataFrame] | None:
+    """(``key, h`` beyond the first ``most`` keys of one vector, ``h, face, rank`` of those first keys), from keys and hashes alone; None if no vector has so many."""
+    light = df.where((F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(F.coalesce(order.cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(vector).alias("h")).alias("f"))
+    first = cut(light.groupBy("key").agg(F.min("f.h").alias("any"), F.min("f").alias("f")).select("key", "f.h"))
+    many = cut(first.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("h"))
+    if many.isEmpty():
+        return None
+    grouped = first.join(many, "h").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    faces = grouped.withColumn("rank", F.row_number().over(Window.partitionBy("h", "salt").orderBy("key"))).where(F.col("rank") <= most)
+    faces = cut(faces.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(F.col("rank") <= most).select("h", F.col("key").alias("face"), "rank"))
+    return cut(grouped.join(faces.select(F.col("face").alias("key")), "key", "left_anti").select("key", "h")), faces
+
+
+def nearest(df: DataFrame, key: str, vector: str, order: Column, k: int = 5, min_sim: float = 0.5, dim: int = 512, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``key, other, sim, rank``: the up to k most similar others at or above ``min_sim`` of every key."""
+    copied = copies(df, key, vector, order, dim, k + 1)
+    coded = coded_vectors(df, key, vector, order, dim)
+    router = fitted_router(coded, df.count(), dim, shard_rows)
+    filed = usable_vectors(df, key, vector, order, dim)
+    if copied is None:
+        return most_similar(similar_pairs(filed, router, k + 3, min_sim, dim), k).select("key", "other", "sim", "rank")
+    rest, faces = copied
+    top = most_similar(similar_pairs(filed.join(rest.select("key"), "key", "left_anti"), router, k + 3, min_sim, dim), k)
+    # a hash of a vector that is not usable has copies too, but these are filed nowhere
+    usable = faces.join(coded.select(F.col("key").alias("face")).distinct(), "face", "left_semi")
+    far = rest.join(usable.where(F.col("rank") <= k), "h").select("key", F.col("face").alias("other"), F.lit(1.0).cast("float").alias("sim"), "rank")
+    return top.select("key", "other", "sim", "rank").unionByName(far)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions.text import bare
-from kinloom.llm import clusters, contraction, hnsw, language, leakage, packing, survivor
+from kinloom.llm import clusters, contraction, hnsw, language, leakage, packing, recall, survivor
 from kinloom.plans.lineage import cut
 from kinloom.sources.tables import table
 
@@ -19,23 +19,25 @@ def query(f):
     return f
 
 
-def _image_neighbours(spark: SparkSession, d: str, k: int, min_sim: float) -> DataFrame:
-    images = table(spark, d, "image_embedding")
-    coded = hnsw.coded_vectors(images, "img_key", "embedding", F.unix_micros(F.col("loaded_at").cast("timestamp")))
-    return hnsw.Index(coded, rows=images.count()).neighbours(k, min_sim)
+def _nearest_images(spark: SparkSession, d: str) -> DataFrame:
+    return hnsw.nearest(table(spark, d, "image_embedding"), "img_key", "embedding", F.unix_micros(F.col("loaded_at").cast("timestamp")))
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    top = hnsw.most_similar(_image_neighbours(spark, d, 8, 0.5), 5)
-    return top.select(F.least("key", "other").alias("img_key_a"), F.greatest("key", "other").alias("img_key_b")).distinct()
+    return _nearest_images(spark, d).select(F.least("key", "other").alias("img_key_a"), F.greatest("key", "other").alias("img_key_b")).distinct()
 
 
 @query
 def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
-    top = hnsw.most_similar(_image_neighbours(spark, d, 8, -1.0), 5)
     person = table(spark, d, "image_embedding").groupBy(F.col("img_key").alias("other")).agg(F.min_by("person_id", "loaded_at").alias("other_person_id"))
-    return top.join(person, "other").select(F.col("key").alias("img_key"), "rank", F.col("other").alias("other_img_key"), "other_person_id", F.round(F.col("sim").cast("double"), 4).alias("cosine"))
+    return _nearest_images(spark, d).join(person, "other").select(F.col("key").alias("img_key"), "rank", F.col("other").alias("other_img_key"), "other_person_id", F.round(F.col("sim").cast("double"), 3).alias("cosine"))
+
+
+@query
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The index against brute force, for every image whose hash is divisible by 50 and all images."""
+    return recall.measured(table(spark, d, "image_embedding"), _nearest_images(spark, d), "img_key", "embedding", F.unix_micros(F.col("loaded_at").cast("timestamp")))
 
 
 @query
@@ -141,7 +143,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _face_clusters(spark: SparkSession, d: str) -> DataFrame:
-    vectors = hnsw.usable_vectors(table(spark, d, "contaminated_cfp_embeddings"), "rel_path", "embedding", F.col("seq_no"))
+    vectors = hnsw.usable_vectors(table(spark, d, "contaminated_cfp_embeddings"), "rel_path", "embedding", F.col("seq_no"), kind=clusters.KIND)
     return clusters.similarity_clusters(vectors, 0.46)
 
 
