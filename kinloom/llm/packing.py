@@ -59,20 +59,20 @@ def token_counts(docs: DataFrame, item_id: str = "doc_id", text: str = "text", t
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Cut items at container borders: ``item_id, piece_no, start, size``."""
+    """Cut items at container borders: ``item_id, row_no, piece_no, start, size``; ``row_no`` tells repeated rows apart."""
+    counts = counts.select("item_id", "n_tokens", F.monotonically_increasing_id().alias("row_no"))
     no = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int"))).alias("piece_no")
-    p = counts.select("item_id", "n_tokens", no).withColumn("start", F.col("piece_no") * capacity)
-    return p.select("item_id", "piece_no", "start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("start")).alias("size"))
+    p = counts.select("item_id", "row_no", "n_tokens", no).withColumn("start", F.col("piece_no") * capacity)
+    return p.select("item_id", "row_no", "piece_no", "start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("start")).alias("size"))
 
 
 def packed(counts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
-    """``container, item_id, piece_no, start, size``: every piece in one container."""
+    """``container, item_id, row_no, piece_no, start, size``: every piece in one container."""
     p = cut(pieces(counts, capacity))
     parts = max(1, -(-p.count() // part_rows))
-    # repeated rows are told apart by their place
-    p = p.withColumn("copy", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("item_id", "piece_no", "copy"), F.lit(parts)).cast("int"))
-    p = cut(p.withColumn("class", F.floor(F.lit(capacity) / F.col("size")).cast("int")))
-    p = p.withColumn("no", F.row_number().over(Window.partitionBy("part", "class").orderBy(F.col("size").desc(), "copy")))
+    p = p.withColumn("part", F.pmod(F.xxhash64("row_no", "piece_no"), F.lit(parts)).cast("int"))
+    p = p.withColumn("class", F.floor(F.lit(capacity) / F.col("size")).cast("int"))
+    p = p.withColumn("no", F.row_number().over(Window.partitionBy("part", "class").orderBy(F.col("size").desc(), "row_no", "piece_no")))
     name = F.format_string("p%06d-c%d-%d", "part", "class", "nth")
     hosts = p.where(F.col("class") <= HOSTS).withColumn("nth", F.floor((F.col("no") - 1) / F.col("class"))).withColumn("container", name)
     room = capacity - F.sum("size")
@@ -82,7 +82,7 @@ def packed(counts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_RO
     rest = p.where(F.col("class") > HOSTS).join(slots, ["part", "class", "no"], "left").join(n_slots, ["part", "class"], "left")
     rest = rest.withColumn("nth", F.floor((F.col("no") - 1 - F.coalesce("n_slots", F.lit(0))) / F.col("class")))
     rest = rest.withColumn("container", F.coalesce("guest_of", name))
-    cols = ["container", "item_id", "piece_no", "start", "size"]
+    cols = ["container", "item_id", "row_no", "piece_no", "start", "size"]
     return hosts.select(cols).unionByName(rest.select(cols))
 
 
@@ -92,5 +92,6 @@ def containers(packing: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def split_items(packing: DataFrame) -> DataFrame:
-    """Items that were longer than a container."""
-    return packing.where("piece_no = 1").select("item_id").distinct()
+    """Items that lie in more than one container, so that were longer than one."""
+    several = packing.groupBy("item_id", "row_no").agg(F.min("container").alias("a"), F.max("container").alias("b")).where("a <> b")
+    return several.select("item_id").distinct()

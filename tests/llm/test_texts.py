@@ -1,7 +1,9 @@
 import datetime as dt
 import math
+import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinloom.llm import language, leakage, packing, survivor
@@ -16,8 +18,12 @@ def table():
     return leakage.ItemTable([1, 2, *range(10, 22)], [ITEM, SHORT, *others])
 
 
+def told(t, text):
+    return [n for _, n in t.leaked([text])]
+
+
 def leaked(text):
-    return leakage.ItemTable.leaked(TABLE, text)
+    return told(TABLE, text)
 
 
 TABLE = table()
@@ -52,10 +58,9 @@ def test_near_spans_need_names_and_few_changes():
 def test_leak_operator_blocks_and_repeats(spark):
     docs = spark.createDataFrame([(1, "x " + ITEM), (2, "x " + ITEM), (3, None), (4, "nothing " * 9000), (5, SHORT)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, SHORT), (3, None), (4, ""), (7, ITEM)], "item_id long, text string")
-    old, leakage.BLOCK_WORDS = leakage.BLOCK_WORDS, 20
-    got = {tuple(r) for r in leakage.leaked_items(docs, items).collect()}
-    leakage.BLOCK_WORDS = old
-    assert got == {(1, 1), (1, 7), (2, 1), (2, 7), (5, 2)}
+    for block_words in (20, leakage.BLOCK_WORDS):
+        got = {tuple(r) for r in leakage.leaked_items(docs, items, block_words=block_words).collect()}
+        assert got == {(1, 1), (1, 7), (2, 1), (2, 7), (5, 2)}
     assert leakage.leaked_items(docs, items.limit(0)).count() == 0
 
 
@@ -66,12 +71,29 @@ def test_near_spans_do_not_depend_on_the_other_items():
     # alone every word stands in few items; repeated, in many
     for copies in (1, 3, 9):
         t = leakage.ItemTable(list(range(copies + 1)), [plain] * copies + ["short item here"])
-        assert t.leaked("Intro. " + changed + " end") == list(range(copies)), copies
-        assert t.leaked("Intro. " + " ".join(plain.split()[:12]) + " end") == []
+        assert told(t, "Intro. " + changed + " end") == list(range(copies)), copies
+        assert told(t, "Intro. " + " ".join(plain.split()[:12]) + " end") == []
     # a number may not be replaced
     numbered = " ".join([*plain.split()[:13], "5351", *plain.split()[13:]])
     t = leakage.ItemTable([1], [numbered])
-    assert t.leaked(numbered.replace("quiet", "calm").replace("5351", "5352")) == t.leaked(numbered.replace("quiet", "calm").replace("sat", "lay").replace("5351", "")) == []
+    assert told(t, numbered.replace("quiet", "calm").replace("5351", "5352")) == told(t, numbered.replace("quiet", "calm").replace("sat", "lay").replace("5351", "")) == []
+
+
+def test_every_near_passage_keeps_a_seed():
+    rnd = random.Random(4)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    for n in (24, 25, 31, 32, 39, 40, 48, 60):
+        for _ in range(40):
+            item = rnd.sample(words, 90)
+            at = rnd.randrange(90 - n + 1)
+            part = item[at : at + n]
+            for i in rnd.sample(range(1, n - 1), n // 8):
+                part[i] = "else"
+            t = leakage.ItemTable([1], [" ".join(item)])
+            w = np.array([-1] * 60 + [t.vocab.get(x, -1) for x in part] + [-1] * 60)
+            place, which, spot, picked = t.hits(w)
+            seed = t.dense(place, which, spot, len(w)) & picked
+            assert t.possible(w, place[seed], which[seed], spot[seed]).any(), (n, part)
 
 
 EN = "the record writer keeps fewer images than the log suggests and the review board shows a clear gap between the scores of the two machines"
