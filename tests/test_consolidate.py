@@ -1,3 +1,5 @@
+import json
+
 from kinloom.operators import consolidate as c
 
 SCHEMA = "file_key string, body string"
@@ -48,11 +50,22 @@ def test_hot_object_over_several_ranges_is_kept_once(spark):
     assert c.files_sharing_objects(m).count() == 400 * 399 // 2
 
 
-def test_write_and_empty(spark, tmp_path):
-    m = run(spark, [("a", line(f"{P}/1.jpg")), ("b", line(f"{P}/1.jpg"))])
-    c.write_consolidated(m, f"file://{tmp_path}/out")
-    assert spark.read.parquet(f"file://{tmp_path}/out/data").count() == 1
-    assert run(spark, []).count() == 0
+def test_files_hold_every_object_once(spark, tmp_path):
+    # objects whose copies start at and inside range borders
+    rows = [(f"f{i:03d}", "\n".join(line(f"{P}/{j:02d}.jpg", 0.25) for j in (i % 40, i % 7, 39))) for i in range(300)]
+    meta = c.write_consolidated(c.parse_records(spark.createDataFrame(rows, SCHEMA)), f"file://{tmp_path}/out", 400).collect()
+    held = {p.name: [json.loads(x)["aligned_s3_path"] for x in p.read_text().splitlines()] for p in (tmp_path / "out/data").iterdir() if p.suffix == ".jsonl" and p.stat().st_size}
+    assert len(held) > 5 and sorted(x for ls in held.values() for x in ls) == [f"{P}/{j:02d}.jpg" for j in range(40)]
+    assert {r.out_file: (r.n_records, r.min_key, r.max_key, r.n_bytes) for r in meta} == {n: (len(x), x[0], x[-1], (tmp_path / "out/data" / n).stat().st_size) for n, x in held.items()}
+    m = run(spark, rows, 400)
+    numbers = {}
+    for r in m.collect():
+        numbers.setdefault(r.obj, []).append(r.copy_no)
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in numbers.values()) and m.count() == 900
+
+
+def test_empty(spark):
+    assert run(spark, []).count() == 0 and c.range_metadata(run(spark, [])).count() == 0
 
 
 def test_extra_columns_and_a_cut_number(spark):
