@@ -6,9 +6,9 @@ the end of that run is an orphan. The same step is used twice: over the *keys*
 (no row with that key at any time), then over the *time* of the keys that are
 left (the runs of one key are the spans in which a row of it is in force).
 
-Scale: runs are cut at block borders, so the as-of match is partitioned by
-(scope, block of keys) and no partition holds more than one block of distinct
-keys. References are reduced to distinct keys before matching, so a key that a
+Scale: runs are cut at block borders (of 2^16 keys; of 2^43 microseconds, about
+102 days, over time), so the as-of match is partitioned by (scope, block) and no
+partition holds more than one block of distinct keys or times. References are reduced to distinct keys before matching, so a key that a
 third of all references name is matched once. The spans of one key are merged in
 two levels (by month, then over months).
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
+TIME_BITS = 43
 FOREVER = "9999-12-31 00:00:00"
 
 
@@ -59,6 +60,14 @@ def spans_in_force(parents: DataFrame, scope: Column, key: str, start: str, end:
     return merged(monthly)
 
 
+def spans_as_runs(spans: DataFrame, last_us: int, bits: int = TIME_BITS) -> DataFrame:
+    """Spans in force as runs of microseconds per (scope, key), cut at block borders and at ``last_us``."""
+    us = spans.select(F.struct("scope", "key").alias("scope"), F.unix_micros(F.col("since").cast("timestamp")).alias("lo"), F.least(F.unix_micros(F.col("until").cast("timestamp")) - 1, F.lit(last_us)).alias("hi")).where("lo <= hi")
+    cuts = us.select("scope", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits))).alias("block"))
+    start = F.shiftleft("block", bits)
+    return cuts.select("scope", "block", F.greatest("lo", start).alias("run_start"), F.least("hi", start + ((1 << bits) - 1)).alias("run_end"))
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of ``refs`` (``ref_id, scope, key, at``) without a parent in force at ``at``.
 
@@ -69,9 +78,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, runs: DataFrame) -> D
     placed = refs.where("scope is not null and at is not null")
     gone = beyond_runs(placed, runs)
     never = placed.join(gone, ["scope", "key"], "left_semi")
-    once = placed.join(gone, ["scope", "key"], "left_anti")
-    p = parents.select(F.col("scope").alias("p_scope"), F.col("key").alias("p_key"), "since", "until")
-    late = once.join(p, (F.col("scope") == F.col("p_scope")) & (F.col("key") == F.col("p_key")) & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("until")), "left_anti")
+    once = placed.join(gone, ["scope", "key"], "left_anti").withColumn("at_us", F.unix_micros(F.col("at").cast("timestamp")))
+    last_us = placed.agg(F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()[0]
+    times = once.select(F.struct("scope", "key").alias("scope"), F.col("at_us").alias("key"))
+    out_of_force = beyond_runs(times, spans_as_runs(parents, last_us or 0), TIME_BITS).select("scope.scope", "scope.key", F.col("key").alias("at_us"))
+    late = once.join(out_of_force, ["scope", "key", "at_us"], "left_semi").drop("at_us")
     return no_scope.unionByName(never).unionByName(late)
 
 

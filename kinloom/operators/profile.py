@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.operators.ordered import with_running
+
 # Closed count ranges, the last one open; counts under 3 are in none.
 BUCKETS = ((3, 5), (6, 10), (11, 20), (21, 50), (51, 100), (101, 200), (201, None))
 
+# The ranges of the audit of written classes.
+FULL_BUCKETS = (*BUCKETS[:-1], (201, 500), (501, 1000), (1001, 2000), (2001, 5000), (5001, 10000), (10001, None))
+
 
 def group_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -25,9 +30,23 @@ def count_stats(counts: DataFrame, col: str) -> DataFrame:
 
 
 def percentiles(counts: DataFrame, col: str, at: tuple[float, ...] = (0.01, 0.25, 0.5, 0.75, 0.99)) -> DataFrame:
-    """Exact percentiles by linear interpolation, one row each."""
-    p = counts.agg(F.percentile(col, F.array(*[F.lit(x) for x in at])).alias("v"))
-    return p.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*[F.lit(x) for x in at]), F.col("i") + 1).alias("p"), "value")
+    """Exact percentiles by linear interpolation, one row each; no rows where there are no values.
+
+    Values are counted and their running totals taken by ranges, so no task holds all of them.
+    """
+    v = counts.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    v = with_running(v, [F.col("v")], {"upto": F.col("n")})
+    total = v.agg(F.max("upto").alias("total"))
+    p = F.explode(F.array(*[F.lit(float(x)) for x in at])).alias("p")
+    spots = v.crossJoin(F.broadcast(total)).select("v", (F.col("upto") - F.col("n")).alias("first"), "upto", "total", p)
+    spot = F.col("p") * (F.col("total") - 1)
+
+    def at_place(place):
+        return (F.col("first") <= place) & (place < F.col("upto"))
+
+    low, high = at_place(F.floor(spot)), at_place(F.ceil(spot))
+    ends = spots.where(low | high).groupBy("p").agg(F.max(F.when(low, F.col("v"))).alias("lo"), F.max(F.when(high, F.col("v"))).alias("hi"), F.first(spot - F.floor(spot)).alias("part"))
+    return ends.select("p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
 def bucket_label(count: Column, buckets=BUCKETS) -> Column:

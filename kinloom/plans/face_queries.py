@@ -178,7 +178,7 @@ def stage_gates(spark, d):
         [
             quality.unit_length(e, "embedding", 1e-4),
             quality.unique(e, "vec_id"),
-            quality.subset(e.where("vec_id % 2 = 0"), e, "vec_id"),
+            quality.subset(table(spark, d, "label_map").where("final_id >= 0"), m, "final_id"),
             quality.at_least(e, "label", 3),
             quality.contiguous(m, "final_id"),
         ]
@@ -187,6 +187,6 @@ def stage_gates(spark, d):
 
 SQL["stage_gates"] = """with f as (select distinct final_id from manifest where removed_at is null)
 select 'unit_length' gate, count(*) filter (abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 1e-4) n_bad from embeddings
-union all select 'unique', count(*) from (select vec_id from embeddings group by 1 having count(*) > 1) union all select 'subset', 0
+union all select 'unique', count(*) from (select vec_id from embeddings group by 1 having count(*) > 1) union all select 'subset', count(distinct final_id) from label_map where final_id >= 0 and final_id not in (select final_id from f)
 union all select 'at_least', count(*) from (select label from embeddings group by 1 having count(*) < 3)
 union all select 'contiguous', (max(final_id) + 1 - count(*)) + count(*) filter (final_id < 0) from f"""

@@ -272,16 +272,6 @@ def reindex_gap_close(spark, d):
 SQL["reindex_gap_close"] = "with m as (select o_orderkey, o_orderkey % 10 = 3 x from orders), r as (select *, sum(x::int) over (order by o_orderkey) below from m) select o_orderkey, (o_orderkey - below)::bigint new_label from r where not x"
 
 
-@query
-def inherit_parent_label(spark, d):
-    m = table(spark, d, "label_map").where("final_id is not null and orig_id is not null").groupBy(F.col("orig_id").alias("parent")).agg(F.max("final_id").alias("final_id"))
-    kids = table(spark, d, "image_embedding").where("person_id is not null").select(F.col("img_key").alias("child"), F.col("person_id").alias("parent")).distinct()
-    return records.inherited_labels(kids, m)
-
-
-SQL["inherit_parent_label"] = "with m as (select orig_id, max(final_id) final_id from label_map where final_id is not null and orig_id is not null group by 1), k as (select distinct img_key, person_id from image_embedding where person_id is not null) select img_key child, final_id from k join m on m.orig_id = k.person_id where final_id >= 0"
-
-
 @query
 def stratified_sample(spark, d):
     return records.stratified_sample(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", "doc_id", 3)

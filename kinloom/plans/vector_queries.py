@@ -70,12 +70,12 @@ def global_templates_offset(spark, d):
     e = _e(spark, d)
     top = e.where("vec_id % 3 = 0").agg(F.max("label").alias("top"))
     shifted = e.join(F.broadcast(top)).withColumn("person_id", F.when(F.col("vec_id") % 3 == 0, F.col("label")).otherwise(F.col("label") + F.col("top") + 1).cast("long"))
-    return vectors.templates(shifted, "person_id", "embedding").select("person_id", "img_count", F.round(F.col("embedding_center")[0], 6).alias("first_value"))
+    return vectors.templates(shifted, "person_id", "embedding").select("person_id", "img_count", F.posexplode("embedding_center").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 SQL["global_templates_offset"] = f"""with {_X}, o as (select max(label) + 1 o from embeddings where vec_id % 3 = 0), y as (select case when vec_id % 3 = 0 then label else label + o end person_id, pos, val from x, o),
 s as (select person_id, pos, sum(val) s, count(*) c from y group by 1, 2), n as (select person_id, sqrt(sum(s * s)) n from s group by 1)
-select person_id::bigint person_id, c img_count, round(s / n, 6) first_value from s join n using (person_id) where pos = 0"""
+select person_id::bigint person_id, c img_count, pos, round(s / n, 6) as value from s join n using (person_id)"""
 
 
 @query
@@ -235,6 +235,16 @@ def merge_groups(spark, d):
 SQL["merge_groups"] = f"{_SYM} select leader leader_id, count(*) n_members, min(id) first_member from ml where id <> leader and leader not in (select leader from lost) group by 1"
 
 
+@query
+def merge_group_members(spark, d):
+    """Every member of every merge group, one row each, so a group of any size is spread."""
+    m, _ = merge.symmetric_merge(*_merge_input(spark, d), LOWER, UPPER)
+    return m.select(F.col("new_id").alias("leader_id"), F.col("og_id").alias("member_id"))
+
+
+SQL["merge_group_members"] = f"{_SYM} select leader leader_id, id member_id from ml where id <> leader and leader not in (select leader from lost)"
+
+
 @query
 def merge_anchored(spark, d):
     return merge.anchored_merge(*_merge_input(spark, d), LOWER, UPPER)

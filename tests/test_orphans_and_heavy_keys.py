@@ -50,3 +50,14 @@ def test_heavy_keys_against_brute_force(spark):
         assert r.longest_gap_us == max(gaps, default=0) and abs(r.mean_size - sum(sizes) / len(sizes)) < 1e-9
     assert {r.key for r in h.heavy_keys(h.per_key_results(h.balanced_states(df, "k", "at", "size")), 0.05).collect()} == {1}
     assert h.per_key_results(h.balanced_states(df.limit(0), "k", "at", "size")).count() == 0
+
+
+def test_times_before_1970_are_times(spark):
+    rows = [(1, dt.datetime(1960, 1, 1), 1.0), (1, dt.datetime(1961, 1, 1), 3.0), (2, None, None), (None, dt.datetime(1960, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "k int, at timestamp, size double")
+    got = {r.key: (r.n_rows, r.first_at, r.last_at, r.longest_gap_us, r.mean_size) for r in h.per_key_results(h.balanced_states(df, "k", "at", "size")).collect()}
+    assert got == {1: (2, rows[0][1], rows[1][1], 366 * 86_400_000_000, 2.0), 2: (1, None, None, 0, None)}
+    p = spark.createDataFrame([("a", 1, dt.datetime(1950, 1, 1), dt.datetime(1960, 6, 1)), ("a", 1, dt.datetime(1965, 1, 1), None)], "s string, k long, b timestamp_ntz, e timestamp_ntz")
+    spans = o.spans_in_force(p, F.col("s"), "k", "b", "e")
+    r = spark.createDataFrame([(i, "a", 1, dt.datetime(y, 1, 1)) for i, y in enumerate((1949, 1955, 1962, 1966, 2020))], "ref_id long, scope string, key long, at timestamp_ntz")
+    assert sorted(x.ref_id for x in o.orphan_references(r, spans, o.contiguous_runs(spans, "scope", "key")).collect()) == [0, 2]
