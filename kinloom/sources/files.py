@@ -70,7 +70,8 @@ def tar_members(spark: SparkSession, path: str, suffix: str = "", payload: bool
                                 body = bytes(content[m.offset_data : m.offset_data + m.size])
                                 rows.append((name, m.name, m.offset_data, m.size, body)[: 5 if payload else 4])
                 except tarfile.TarError:
-                    pass
+                    # see unreadable_archives
+                    rows = []
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar").load(path)
@@ -78,6 +79,24 @@ def tar_members(spark: SparkSession, path: str, suffix: str = "", payload: bool
     return files.select("path", "content").mapInPandas(members, schema)
 
 
+def unreadable_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``tar_path, error`` of the archives below that cannot be opened."""
+
+    def failed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                        tar.getmembers()
+                except tarfile.TarError as e:
+                    rows.append((name, str(e)))
+            yield pd.DataFrame(rows, columns=["tar_path", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar").load(path)
+    return files.select("path", "content").mapInPandas(failed, "tar_path string, error string")
+
+
 def byte_ranges(df: DataFrame, path: str, start: str, length: str, out: str = "payload") -> DataFrame:
     """Adds the bytes of ``[start, start + length)`` of each row's file; rows are sorted by file so a file is opened once per batch."""
 

@@ -4,7 +4,9 @@ A record is framed by a magic number and its length and padded to four bytes; it
 content starts with a header (flag, label, id, id2), followed by ``flag`` further
 float labels when flag > 0, then the payload. Record 0 may be a file header,
 recognised by flag > 0; it and the per-class headers it bounds hold no payload
-row and are left out. A truncated record ends its file.
+row and are left out. A truncated record ends its file. A file with an index is
+split over its records; one without is read from end to end by one task, its
+records numbered from 0.
 """
 
 from __future__ import annotations
@@ -51,7 +53,9 @@ def unpack(body: bytes) -> tuple[int, list[float], bytes]:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, rows: list[tuple[int, int]], images: int):
+    """Records of one file as (number, offset); no rows: the whole file in its order."""
+
+    def __init__(self, path: str, rows: list[tuple[int, int]] | None, images: int):
         self.path, self.rows, self.images = path, rows, images
 
 
@@ -62,24 +66,40 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         out = []
         for p in self.paths:
-            rows = read_index(p[: -len(".rec")] + ".idx")
+            fs, index = _open(p[: -len(".rec")] + ".idx")
+            indexed = fs.get_file_info(index).type != pafs.FileType.NotFound
+            rows = read_index(p[: -len(".rec")] + ".idx") if indexed else [(0, 0)]
             images = -1
-            if rows:
-                fs, place = _open(p)
+            fs, place = _open(p)
+            if rows and fs.get_file_info(place).size > FRAME.size:
                 with fs.open_input_file(place) as f:
                     magic, n = FRAME.unpack(f.read_at(FRAME.size, rows[0][1]))
                     flag, labels, _ = unpack(f.read_at(n & 0x1FFFFFFF, rows[0][1] + FRAME.size)) if magic == MAGIC else (0, [], b"")
                 if flag > 0:
                     images = int(labels[0])
+            if not indexed:
+                out.append(_Range(p, None, images))
+                continue
             out += [_Range(p, rows[i : i + RANGE_RECORDS], images) for i in range(0, len(rows), RANGE_RECORDS)]
         return out or [_Range("", [], -1)]
 
+    @staticmethod
+    def _all(f) -> Iterator[tuple[int, int]]:
+        number, at, size = 0, 0, f.size()
+        while at + FRAME.size <= size:
+            magic, n = FRAME.unpack(f.read_at(FRAME.size, at))
+            if magic != MAGIC:
+                return
+            yield number, at
+            n &= 0x1FFFFFFF
+            number, at = number + 1, at + FRAME.size + n + -n % 4
+
     def read(self, part: _Range) -> Iterator[tuple]:
-        if not part.rows:
+        if not part.path:
             return
         fs, place = _open(part.path)
         with fs.open_input_file(place) as f:
-            for number, offset in part.rows:
+            for number, offset in part.rows if part.rows is not None else self._all(f):
                 if part.images >= 0 and (number == 0 or number >= part.images):
                     continue
                 head = f.read_at(FRAME.size, offset)

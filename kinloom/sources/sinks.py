@@ -28,6 +28,12 @@ def write_table(df: DataFrame, path: str, fmt: str) -> None:
     (df.write.option("header", True) if fmt == "csv" else df.write).format(fmt).save(path)
 
 
+def write_manifest(df: DataFrame, path: str, split: str = "src") -> None:
+    """``final_id, img_key`` per split, in order of both within a file; rows without a label of 0 or more are left out."""
+    rows = df.where("final_id >= 0").select(split, "final_id", "img_key")
+    rows.repartitionByRange(split, "final_id", "img_key").sortWithinPartitions(split, "final_id", "img_key").write.partitionBy(split).parquet(path)
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Replace a folder by a finished one: write beside it, then swap names. The folder that is read is never written into."""
     fs, place = pafs.FileSystem.from_uri(path)
