@@ -1,7 +1,8 @@
 """Exact similarity joins in blocks.
 
 Rows are spread over blocks of about ``BLOCK`` rows by a hash of the id; each
-pair of blocks is one bounded group whose cosines are one matrix product. A group
+block is one row of bytes, and each pair of blocks one bounded group whose cosines
+are one matrix product. A group
 of rows that are compared (all rows, or the rows of one key) of any size becomes
 many such groups, so no task holds more than two blocks. The work is the square
 of the rows compared, as an exact answer needs; for very many rows use an index.
@@ -16,34 +17,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.vectors import unit
+from kinloom.plans.lineage import cut
 
 BLOCK = 1_024
 
 
-def _stack(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["v"].to_numpy()) if len(pdf) else np.empty((0, 0))
+def packed_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``key, i, blocks, ids, data``: the rows of ``key, id, v`` in blocks of about ``block`` rows, vectors as bytes, one row a block.
+
+    ``blocks`` is the number of the key's blocks. Written once, as both sides of a join read it.
+    """
+    n = rows.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = rows.join(n, F.col("key") == F.col("of")).select("key", "id", "v", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "i": [key[1]], "blocks": [key[2]], "ids": [pdf["id"].to_numpy()], "data": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
+
+    return cut(placed.groupBy("key", "i", "blocks").applyInPandas(pack, "key long, i int, blocks int, ids array<long>, data binary"))
 
 
 def block_products(left: DataFrame, right: DataFrame, kernel, schema: str, block: int = BLOCK, upper: bool = False) -> DataFrame:
     """``kernel(key, left ids, right ids, cosines) -> frame`` over all block pairs of ``key, id, v`` frames with equal key."""
+    a = packed_blocks(left, block)
+    b = a if right is left else packed_blocks(right, block)
+    na, nb = (x.groupBy("key").agg(F.first("blocks").alias("n")) for x in (a, b))
+
+    def spread(side: DataFrame, other: DataFrame, own: str, others: str) -> DataFrame:
+        met = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(others)
+        return side.join(other, "key").select("key", F.col("i").alias(own), "ids", "data", met)
+
     # names of their own, as both sides may be one table
-    right = right.select(F.col("key").alias("rkey"), F.col("id").alias("rid"), F.col("v").alias("rv"))
-    nl = left.groupBy(F.col("key").alias("gl")).agg(F.ceil(F.count("*") / block).cast("int").alias("nl"))
-    nr = right.groupBy(F.col("rkey").alias("gr")).agg(F.ceil(F.count("*") / block).cast("int").alias("nr"))
-    n = nl.join(nr, F.col("gl") == F.col("gr")).select("gl", "nl", "nr")
-    lb = left.join(n, F.col("key") == F.col("gl")).select("key", "id", "v", F.pmod(F.xxhash64("id"), F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    rb = right.join(n, F.col("rkey") == F.col("gl")).select(
-        F.col("rkey").alias("key"), F.col("rid").alias("id"), F.col("rv").alias("v"), F.pmod(F.xxhash64("rid"), F.col("nr")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i")
-    )
+    lb = spread(a, nb, "i", "j")
+    rb = spread(b, na, "j", "i").select(F.col("key").alias("rkey"), F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("ids").alias("rids"), F.col("data").alias("rdata"))
     if upper:
-        lb, rb = lb.where("i <= j"), rb.where("i <= j")
+        lb, rb = lb.where("i <= j"), rb.where("ri <= rj")
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return kernel(key[0], a["id"].to_numpy(), b["id"].to_numpy(), np.zeros((len(a), len(b))), key[1] == key[2])
-        return kernel(key[0], a["id"].to_numpy(), b["id"].to_numpy(), _stack(a) @ _stack(b).T, key[1] == key[2])
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return kernel(key[0], np.empty(0, np.int64), np.empty(0, np.int64), np.zeros((0, 0)), key[1] == key[2])
+        p, u = np.asarray(x["ids"].iloc[0]), np.asarray(y["rids"].iloc[0])
+        q, v = np.frombuffer(x["data"].iloc[0]).reshape(len(p), -1), np.frombuffer(y["rdata"].iloc[0]).reshape(len(u), -1)
+        return kernel(key[0], p, u, q @ v.T, key[1] == key[2])
 
-    return lb.groupBy("key", "i", "j").cogroup(rb.groupBy("key", "i", "j")).applyInPandas(run, schema)
+    return lb.groupBy("key", "i", "j").cogroup(rb.groupBy("rkey", "ri", "rj")).applyInPandas(run, schema)
 
 
 def units(df: DataFrame, row: str, vector: str, key: Column | None = None) -> DataFrame:
