@@ -40,7 +40,7 @@ def final_labels(effective: DataFrame, mapping: DataFrame, dropped: DataFrame) -
 
 
 def label_summary(labels: DataFrame) -> DataFrame:
-    """Per source, and over all in the row without one: native ids, kept ids, images kept, smallest and largest label."""
+    """Per source, and over all in the row without one: native ids, kept ids, images kept, smallest and largest label. No ids give no rows."""
     kept = F.col("final_id") >= 0
     return labels.rollup("src").agg(
         F.count("*").alias("n_ids"), F.count_if(kept).alias("n_kept"), F.coalesce(F.sum(F.when(kept, F.col("img_count"))), F.lit(0)).alias("num_image"), F.min(F.when(kept, F.col("final_id"))).alias("first_label"), F.max(F.when(kept, F.col("final_id"))).alias("last_label"), F.count_distinct(F.when(kept, F.col("final_id"))).alias("n_classes")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.plans.lineage import ensure_shared_folder
-
 
 def process_new(spark: SparkSession, folder: str, step, state: str, fmt: str = "parquet") -> None:
     """Run ``step(new rows, batch number)`` over the files that no earlier call with this ``state`` folder has processed."""
@@ -17,22 +13,20 @@ def process_new(spark: SparkSession, folder: str, step, state: str, fmt: str = "
     query.awaitTermination()
 
 
-def hourly_counts(spark: SparkSession, folder: str, delay: str = "2 days") -> DataFrame:
-    """Tumbling hourly counts per event type by a watermarked stream over the folder, run to the end of what is there."""
-    base = f"{ensure_shared_folder(spark)}/kinloom-stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(folder).schema
-    name = folder.rstrip("/").rpartition("/")
-    stream = spark.readStream.schema(schema).format("parquet")
-    # a table that is one file is found by its name in the folder above
-    one = any(f.endswith(f"/{name[2]}") for f in spark.read.parquet(folder).inputFiles()[:1])
-    events = stream.option("pathGlobFilter", name[2]).load(name[0]) if one else stream.load(folder)
-    ts = events.select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value").withWatermark("at", delay)
-    counts = ts.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def hourly_counts(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """Hourly counts per event type (``ts, event_type, value``) over all files that have arrived in ``folder``.
+
+    Each call reads only the files that are new since the last call with this
+    ``state`` folder, and adds their partial counts to those kept there. Late rows
+    count in their own hour, whenever they arrive, so no watermark drops any; a
+    batch that is run again replaces its own partial counts. Rows without a time
+    count in no hour (null).
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "event_type", "n", "total").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        hour = F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).alias("hour_start")
+        batch.groupBy(hour, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{state}/partial/batch={number}")
 
-    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("hour_start timestamp_ntz, event_type string, n long, total double, batch int").parquet(f"{base}/out")
-    last = out.groupBy("hour_start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
-    return last.select("hour_start", "event_type", "x.n", F.round("x.total", 4).alias("total"))
+    process_new(spark, folder, keep, f"{state}/seen")
+    kept = spark.read.schema("hour_start timestamp_ntz, event_type string, n long, total double, batch int").parquet(f"{state}/partial")
+    return kept.groupBy("hour_start", "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
