@@ -28,6 +28,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _nearest_images(spark, d).select(F.least("key", "other").alias("img_key_a"), F.greatest("key", "other").alias("img_key_b")).distinct()
 
 
+def _usable(table_name: str, key: str, order: str) -> str:
+    finite = "len(embedding) = 512 and list_count(embedding) = 512 and list_bool_and(list_transform(embedding, lambda x: isfinite(x))) and list_max(list_transform(embedding, lambda x: abs(x))) > 0"
+    return f"v as materialized (select {key} k, arg_min(embedding, {order})::double[512] e from {table_name} where {finite} group by 1)"
+
+
 @query
 def p1_most_similar(spark: SparkSession, d: str) -> DataFrame:
     person = table(spark, d, "image_embedding").groupBy(F.col("img_key").alias("other")).agg(F.min_by("person_id", "loaded_at").alias("other_person_id"))
@@ -154,6 +159,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return members.join(size, "cluster").select("cluster_path", F.col("key").alias("rel_path"))
 
 
+# a cluster is a set of images that all have the same similar images, and no others
+SQL["p2_found"] = f"""with {_usable("contaminated_cfp_embeddings", "rel_path", "seq_no")},
+n as (select a.k, list(b.k order by b.k) near from v a, v b where a.k = b.k or array_cosine_similarity(a.e, b.e) >= 0.46 group by 1),
+g as (select near from n group by near having count(*) = len(near) and len(near) >= 3)
+select near[1] cluster_path, unnest(near) rel_path from g"""
+
+
 def _hosted_faces(spark: SparkSession, d: str) -> DataFrame:
     hosts = table(spark, d, "contaminated_cfp_embeddings").select(F.col("rel_path").alias("key"), "assigned_id").distinct()
     return _face_clusters(spark, d).join(hosts, "key")
