@@ -2,7 +2,8 @@
 
 Iterative operators write their state between rounds as tables there. The folder
 is the one named by ``spark.checkpoint.dir``; only a local session without that
-setting gets a temporary folder of its own, removed when the driver ends.
+setting gets a temporary folder of its own. All tables of an application lie in one
+folder below, which is removed when the driver ends.
 """
 
 from __future__ import annotations
@@ -12,11 +13,24 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: set[str] = set()
+
+
+def _remove(folder: str) -> None:
+    try:
+        fs, place = pafs.FileSystem.from_uri(folder)
+        if fs.get_file_info(place).type != pafs.FileType.NotFound:
+            fs.delete_dir(place)
+    except OSError:
+        # the folder's own life time then ends it
+        return
+
 
 def ensure_shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; raises on a cluster that names none."""
+    """The application's folder in the shared folder of the session; raises on a cluster that names none."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
@@ -25,7 +39,11 @@ def ensure_shared_folder(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="kinloom-shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/kinloom-{sc.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_remove, own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
