@@ -385,9 +385,9 @@ SQL["margin_scores"] = f"with {_C}, m as (select vec_id, list_dot_product(u.v, c
 
 @query
 def weight_soup(spark, d):
-    e = _e(spark, d).where("vec_id < 4").withColumn("one", F.lit(1))
-    s = vectors.vector_sums(e, ["one"], "embedding")
-    return s.select("n", F.posexplode("sums").alias("pos", "s")).select("pos", F.round(F.col("s") / F.col("n"), 6).alias("value"))
+    """The plain average of all weight vectors of each label."""
+    s = vectors.vector_sums(_e(spark, d), ["label"], "embedding")
+    return s.select("label", "n", F.posexplode("sums").alias("pos", "s")).select("label", "pos", F.round(F.col("s") / F.col("n"), 6).alias("value"))
 
 
-SQL["weight_soup"] = f"with {_X} select pos, round(avg(val), 6) as value from x where vec_id < 4 group by pos"
+SQL["weight_soup"] = f"with {_X} select label, pos, round(avg(val), 6) as value from x group by label, pos"
