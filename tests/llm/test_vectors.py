@@ -164,6 +164,56 @@ def test_flow_decides_the_clusters(spark, monkeypatch):
     assert len({r.cluster for r in got}) == len(got) and not any(r.closed for r in got)
 
 
+def test_groups_at_rest_take_no_part_in_the_rounds(spark, monkeypatch):
+    rows = faces(30, seed=6, noise=0.05)
+    rows += [("copy/a", rows[0][1]), ("copy/b", [2 * x for x in rows[0][1]])]
+
+    def rounds(links, *more):
+        raise AssertionError("a complete group without links to others needs no round")
+
+    monkeypatch.setattr(clusters, "markov_flow", rounds)
+    members = clusters.similarity_clusters(usable(spark, rows), 0.6, DIM).collect()
+    s, keys = unit_rows(rows) @ unit_rows(rows).T >= 0.6, [k for k, _ in rows]
+    got: dict = {}
+    for r in members:
+        got.setdefault(r.cluster, set()).add(r.key)
+        assert r.closed and (r.flow >= 0.6 or len(got[r.cluster]) == 1)
+    assert {frozenset(x) for x in got.values()} == {frozenset(keys[j] for j in np.flatnonzero(x)) for x in s if x.sum() > 1}
+
+
+def test_short_heads_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "JOIN_BLOCK", 90)
+    monkeypatch.setattr(clusters, "JOIN_ROWS", 64)
+    monkeypatch.setattr(clusters, "PAIR_ROWS", 7)
+    rows = faces(150, seed=9)
+    path, known = clusters.packed(usable(spark, rows + [("copy", rows[0][1])]))
+    of = {r.key: r.id for r in known.collect()}
+    assert len(of) == len(rows) + 1 and of["copy"] == of[rows[0][0]] and len(set(of.values())) == len(rows)
+    fs, place = clusters.pafs.FileSystem.from_uri(path)
+    groups = clusters.grouped(fs, place, DIM)
+    assert len(groups) > 3
+    stored = [clusters.Block(fs, g, DIM) for g in groups]
+    v, ids = np.concatenate([b.v for b in stored]), np.concatenate([b.ids for b in stored])
+    s = v.astype(np.float64) @ v.T
+    # but for the rounding of cosines in single precision
+    sure, maybe = ({frozenset(ids[list(x)].tolist()) for x in zip(*np.nonzero(np.triu(s >= t, 1)), strict=True)} for t in (0.460001, 0.459999))
+    whole = clusters.fitted_head([v], 0.46, DIM)
+    for dense in (1, 10**9):
+        monkeypatch.setattr(clusters, "DENSE", dense)
+        for m in (1, 8, DIM):
+            basis = np.linalg.qr(np.concatenate([whole, np.eye(DIM, dtype=np.float32)], axis=1))[0][:, :m].astype(np.float32)
+            parts, got = [clusters.Block(fs, g, DIM, basis) for g in groups], []
+            for i, a in enumerate(parts):
+                for b in parts[i:]:
+                    x, y, z = a.near(b, 0.46)
+                    got += zip(a.ids[x].tolist(), b.ids[y].tolist(), strict=True)
+                    assert len(z) == 0 or z.min() >= 0.46
+            assert len(got) == len({frozenset(x) for x in got}) and sure <= {frozenset(x) for x in got} <= maybe
+    # vectors of few dimensions are compared on few
+    flat = np.random.default_rng(1).standard_normal((2_000, 4)) @ np.random.default_rng(2).standard_normal((4, 64))
+    assert clusters.fitted_head([(flat / np.linalg.norm(flat, axis=1)[:, None]).astype(np.float32)], 0.999, 64).shape == (64, 4)
+
+
 def test_large_clique_is_one_cluster_and_bridged_groups_are_not_closed(spark):
     g = np.random.default_rng(4)
     e = np.eye(DIM)
